@@ -106,7 +106,8 @@ def hits_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols["search_keyword"] = F.when(F.col("l_suppkey") % 37 == 0, F.lit(None).cast("string")) \
         .otherwise(_pick(KEYWORDS, F.col("l_partkey") % 8))
     cols["ord"] = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
-                           F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"))
+                           F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"),
+                           F.col("l_orderkey").alias("okey"))
     cols["page_key"] = F.col("l_suppkey")
     return j.select(*[c.alias(n) for n, c in cols.items()])
 
@@ -245,7 +246,7 @@ HITS_SQL = f"""
   SELECT CASE WHEN l.l_partkey % 101 = 0 THEN NULL ELSE CAST(o.o_orderkey AS VARCHAR) END AS jobNo,
          CASE WHEN l.l_suppkey % 37 = 0 THEN NULL ELSE {_sql_pick(KEYWORDS, 'l.l_partkey % 8')} END AS search_keyword,
          l.l_linenumber AS ord_line, l.l_partkey AS ord_part, l.l_suppkey AS ord_supp,
-         l.l_extendedprice AS ord_price, l.l_suppkey AS page_key{_sql_posting_cols('o.o_orderkey')}
+         l.l_extendedprice AS ord_price, l.l_orderkey AS ord_okey, l.l_suppkey AS page_key{_sql_posting_cols('o.o_orderkey')}
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
                   JOIN customer c ON o.o_custkey = c.c_custkey
 """
