@@ -1 +1,165 @@
-"""Registered queries."""
+"""Registered ingest / lifecycle queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hirelens import fixtures as X
+from hirelens.fixtures import AS_OF, AS_OF_SQL, HITS_SQL, JOBS_SQL, KEYWORD_LISTS_SQL, with_hits
+from hirelens.operators import ingest as I
+from hirelens.operators import lifecycle as L
+from hirelens.plans.catalog import register
+
+URL_SQL = ("'https://www.104.com.tw/jobs/search/list?keyword=' || coalesce({kw}, '') || '&page=' || CAST({page} AS VARCHAR)"
+           " || '&area=' || {area} || '&industry=&jobCat=&exp=&edu=&mode=s&jobsource=index'")
+
+
+@register("explode_responses", with_hits(f"""
+SELECT jobNo, jobName, search_keyword, page_key,
+       CAST(row_number() OVER (PARTITION BY search_keyword, page_key
+                               ORDER BY ord_line, ord_part, ord_supp, ord_price, ord_okey) - 1 AS INTEGER) AS pos,
+       {AS_OF_SQL} AS crawl_date, 'active' AS status, coalesce(jobAddrNo, '') AS area_code,
+       coalesce(jobAddrNoDesc, '') AS area_name
+FROM hits WHERE page_key % 29 <> 0"""))
+def q_explode_responses(spark, sf):
+    return I.explode_responses(X.responses_df(spark, sf), AS_OF).select(
+        "jobNo", "jobName", "search_keyword", "page_key", "pos", "crawl_date", "status", "area_code", "area_name")
+
+
+@register("merged_keywords", with_hits(f"""
+SELECT ids.jobNo, ids.custName, coalesce(array_to_string(kl.search_keyword, '|'), '') AS search_keyword
+FROM (SELECT jobNo, min(custName) AS custName FROM hits WHERE jobNo IS NOT NULL GROUP BY 1) ids
+LEFT JOIN ({KEYWORD_LISTS_SQL}) kl ON kl.jobNo = ids.jobNo"""))
+def q_merged_keywords(spark, sf):
+    m = I.merge_postings(X.hits_df(spark, sf).drop("page_key"))
+    return m.select("jobNo", "custName", F.array_join("search_keyword", "|").alias("search_keyword"))
+
+
+@register("response_classes", with_hits("""
+SELECT CASE WHEN page_key % 29 = 0 THEN 'error' ELSE 'valid' END AS response_class, count(*) AS page_count
+FROM (SELECT DISTINCT search_keyword, page_key FROM hits) GROUP BY 1"""))
+def q_response_classes(spark, sf):
+    return I.response_classes(X.responses_df(spark, sf))
+
+
+@register("fetch_stats", with_hits("""
+SELECT keyword, count(*) FILTER (WHERE page_key % 29 <> 0) AS pages_ok,
+       count(*) FILTER (WHERE page_key % 29 = 0) AS pages_failed,
+       CAST(coalesce(sum(n) FILTER (WHERE page_key % 29 <> 0), 0) AS BIGINT) AS jobs_fetched
+FROM (SELECT search_keyword AS keyword, page_key, count(*) AS n FROM hits GROUP BY 1, 2) GROUP BY 1"""))
+def q_fetch_stats(spark, sf):
+    return I.fetch_stats(X.responses_df(spark, sf))
+
+
+def _state_batch(spark, sf):
+    jobs = X.jobs_df(spark, sf)
+    k = F.col("jobNo").cast("bigint")
+    state = jobs.where(k % 3 != 0)
+    batch = (jobs.where(k % 4 != 0).drop(*L.STATE_ONLY)
+             .withColumn("crawl_date", F.lit(AS_OF)))
+    return state, batch
+
+
+LIFECYCLE_SQL = f"""
+WITH jobs AS ({JOBS_SQL}),
+st AS (SELECT * FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
+bt AS (SELECT jobNo, {AS_OF_SQL} AS crawl_date FROM jobs WHERE CAST(jobNo AS BIGINT) % 4 <> 0),
+j AS (SELECT coalesce(bt.jobNo, st.jobNo) AS jobNo, st.jobNo IS NOT NULL AS in_s, bt.jobNo IS NOT NULL AS in_b,
+             coalesce(st.status, 'active') AS s_status, st.delisted_date AS s_del, st.discovery_date AS s_disc,
+             st.last_update_date AS s_upd, CASE WHEN bt.jobNo IS NOT NULL THEN bt.crawl_date ELSE st.crawl_date END AS crawl_date
+      FROM st FULL OUTER JOIN bt ON st.jobNo = bt.jobNo),
+c AS (SELECT *, CASE WHEN in_s AND in_b AND s_status = 'inactive' THEN 'reactivated'
+                     WHEN in_s AND in_b THEN 'kept' WHEN in_b THEN 'new'
+                     WHEN (SELECT count(*) FROM bt) > 0 AND s_status = 'active' THEN 'delisted'
+                     ELSE 'untouched' END AS change FROM j),
+snap AS (SELECT jobNo, crawl_date,
+       CASE WHEN change IN ('new', 'kept', 'reactivated') THEN 'active' WHEN change = 'delisted' THEN 'inactive' ELSE s_status END AS status,
+       CASE WHEN change IN ('new', 'reactivated') THEN NULL WHEN change = 'delisted' THEN strftime({AS_OF_SQL}, '%Y-%m-%d') ELSE s_del END AS delisted_date,
+       CASE WHEN change = 'new' THEN {AS_OF_SQL} ELSE s_disc END AS discovery_date,
+       CASE WHEN change = 'untouched' THEN s_upd ELSE {AS_OF_SQL} END AS last_update_date, change FROM c)
+"""
+
+
+@register("lifecycle_sync", LIFECYCLE_SQL + "SELECT * FROM snap")
+def q_lifecycle_sync(spark, sf):
+    state, batch = _state_batch(spark, sf)
+    return L.sync_snapshot(state, batch, AS_OF).select(
+        "jobNo", "crawl_date", "status", "delisted_date", "discovery_date", "last_update_date", "change")
+
+
+@register("lifecycle_change_counts", LIFECYCLE_SQL + "SELECT change, count(*) AS n FROM snap GROUP BY 1")
+def q_lifecycle_change_counts(spark, sf):
+    state, batch = _state_batch(spark, sf)
+    return L.change_counts(L.sync_snapshot(state, batch, AS_OF))
+
+
+@register("upsert_jobs", f"""
+WITH jobs AS ({JOBS_SQL}),
+st AS (SELECT jobNo FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
+bt AS (SELECT jobNo FROM jobs WHERE CAST(jobNo AS BIGINT) % 4 <> 0)
+SELECT count(*) FILTER (WHERE st.jobNo IS NULL) AS inserted, count(*) FILTER (WHERE st.jobNo IS NOT NULL) AS modified
+FROM bt LEFT JOIN st ON bt.jobNo = st.jobNo""")
+def q_upsert_jobs(spark, sf):
+    state, batch = _state_batch(spark, sf)
+    return L.upsert_counts(state, batch)
+
+
+@register("existing_statuses", f"""WITH jobs AS ({JOBS_SQL})
+SELECT status, count(*) AS n FROM jobs GROUP BY 1""")
+def q_existing_statuses(spark, sf):
+    return L.existing_statuses(X.jobs_df(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("crawl_log_upsert", with_hits(f"""
+, pages AS (SELECT DISTINCT search_keyword AS keyword, page_key FROM hits)
+SELECT keyword, {URL_SQL.format(kw='keyword', page='page_key', area="''")} AS crawl_url,
+       CASE WHEN page_key % 2 = 0 THEN 'ok' WHEN page_key % 29 = 0 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN page_key % 2 = 0 THEN 1 ELSE 0 END AS seq
+FROM pages"""))
+def q_crawl_log_upsert(spark, sf):
+    r = X.responses_df(spark, sf)
+    old = r.select("today", "keyword", "first_url", "crawl_url", "status", "page_key", F.lit(0).alias("seq"))
+    new = r.where(F.col("page_key") % 2 == 0).select(
+        "today", "keyword", "first_url", "crawl_url", F.lit("ok").alias("status"), "page_key", F.lit(1).alias("seq"))
+    return L.crawl_log_upsert(old, new).select("keyword", "crawl_url", "status", "seq")
+
+
+def _frontier(spark, sf):
+    kws = X.hits_df(spark, sf).where(F.col("search_keyword").isNotNull()) \
+        .select(F.col("search_keyword").alias("keyword")).distinct()
+    areas = X.table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("string").alias("area_code"), F.col("n_name").alias("area_name"),
+        (F.col("n_nationkey") % 5 + 1).cast("int").alias("total_page"))
+    return I.crawl_frontier(kws, areas)
+
+
+FRONTIER_SQL = f"""WITH hits AS ({HITS_SQL}),
+kw AS (SELECT DISTINCT search_keyword AS keyword FROM hits WHERE search_keyword IS NOT NULL),
+fr AS (SELECT kw.keyword, CAST(n.n_nationkey AS VARCHAR) AS area_code, n.n_name AS area_name,
+              CAST(p.page AS INTEGER) AS page
+       FROM kw, nation n, LATERAL (SELECT unnest(range(1, n.n_nationkey % 5 + 2)) AS page) p),
+fu AS (SELECT *, {URL_SQL.format(kw='keyword', page='page', area='area_code')} AS crawl_url,
+              {URL_SQL.format(kw='keyword', page='1', area='area_code')} AS first_url FROM fr)
+"""
+
+
+@register("crawl_frontier", FRONTIER_SQL + "SELECT * FROM fu")
+def q_crawl_frontier(spark, sf):
+    return _frontier(spark, sf)
+
+
+@register("frontier_pending", FRONTIER_SQL + "SELECT * FROM fu WHERE page % 2 = 0")
+def q_frontier_pending(spark, sf):
+    fr = _frontier(spark, sf)
+    log = fr.where(F.col("page") % 2 == 1).select(
+        F.lit(AS_OF.isoformat()).alias("today"), "crawl_url", "first_url", F.lit("ok").alias("status"))
+    return I.frontier_pending(fr, log, AS_OF)
+
+
+@register("page_keyword_match", with_hits("""
+SELECT search_keyword AS keyword, page_key FROM (SELECT DISTINCT search_keyword, page_key FROM hits)
+WHERE search_keyword IN ('Python', 'SRE')"""))
+def q_page_keyword_match(spark, sf):
+    r = X.responses_df(spark, sf)
+    plan = r.where(F.col("keyword").isin("Python", "SRE")).select("keyword", "crawl_url")
+    return I.page_keyword_match(r, plan).select("keyword", "page_key")
