@@ -1 +1,78 @@
-"""Registered queries."""
+"""Registered code-table queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hirelens import fixtures as X
+from hirelens.fixtures import with_jobs
+from hirelens.plans.catalog import register
+from hirelens.session import scratch_path
+from hirelens.sources import codes as K
+
+FLAT_SQL = """
+WITH flat AS (
+  SELECT 'R' || r_regionkey AS code, r_name AS name, 0 AS depth, r_regionkey % 2 = 0 AS is_leaf, 'R' || r_regionkey AS root_no
+  FROM region
+  UNION ALL
+  SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'R' || n_regionkey || '.N' || n_nationkey ELSE 'N' || n_nationkey END,
+         n_name, 1, true, 'R' || n_regionkey
+  FROM nation)
+"""
+
+
+def _flat_via_file(spark, sf):
+    """Write the table-derived tree as a JSON code file, read it back (S19) and flatten (H1)."""
+    path = scratch_path(spark, "code-tree")
+    K.tree_from_tables(spark, sf).coalesce(1).write.json(path)
+    tree = spark.read.schema(K.node_type()).json(path)
+    return K.flatten_code_tree(tree)
+
+
+@register("code_tree_flat", FLAT_SQL + "SELECT code, name, depth, is_leaf, root_no FROM flat")
+def q_code_tree_flat(spark, sf):
+    return _flat_via_file(spark, sf).select("code", "name", "depth", "is_leaf", "root_no")
+
+
+@register("leaf_area_codes", FLAT_SQL + """
+SELECT code, name FROM flat WHERE root_no = 'R1' AND depth > 0 AND is_leaf
+  AND (contains(name, 'NATION_1') OR contains(name, 'NATION_2'))""")
+def q_leaf_area_codes(spark, sf):
+    return K.leaf_area_codes(_flat_via_file(spark, sf), "R1", ["NATION_1", "NATION_2"])
+
+
+@register("code_search", FLAT_SQL + "SELECT code, name FROM flat WHERE contains(lower(name), 'nation_1')")
+def q_code_search(spark, sf):
+    return K.code_search(_flat_via_file(spark, sf), "NATION_1")
+
+
+@register("code_table_load", FLAT_SQL + "SELECT code, name FROM flat")
+def q_code_table_load(spark, sf):
+    # A code-table file is one JSON array of root nodes (read with multiLine).
+    path = scratch_path(spark, "code-file")
+    tree = K.tree_from_tables(spark, sf)
+    tree.select(F.to_json(F.collect_list(F.struct(*tree.columns))).alias("value")).write.text(path)
+    return K.load_code_table(spark, path, "area")
+
+
+AREA_VALUES = ("(VALUES ('6001001000', '台北市', 0), ('6001002000', '新北市', 1), ('6001005000', '桃園市', 2), "
+               "('6001006000', '新竹市', 3), ('6001007000', '新竹縣', 4), ('6001008000', '台中市', 5), "
+               "('6001016000', '台南市', 6), ('6001017000', '高雄市', 7)) t(code, name, ordinal)")
+
+
+@register("code_lookup", with_jobs(f""", area AS (SELECT * FROM {AREA_VALUES})
+SELECT jobs.jobNo, jobs.jobAddrNo, a1.name AS area_name, jobs.city, a2.code AS city_code
+FROM jobs LEFT JOIN area a1 ON jobs.jobAddrNo = a1.code LEFT JOIN area a2 ON jobs.city = a2.name"""))
+def q_code_lookup(spark, sf):
+    codes = K.builtin_codes(spark, "area")
+    jobs = X.jobs_df(spark, sf).select("jobNo", "jobAddrNo", "city")
+    out = K.code_to_name(jobs, "jobAddrNo", codes, "area_name")
+    return K.name_to_code(out, "city", codes, "city_code")
+
+
+@register("builtin_codes", """
+SELECT * FROM (VALUES ('area', 8), ('job_cat', 7), ('industry', 5)) t(kind, n)""")
+def q_builtin_codes(spark, sf):
+    parts = [K.builtin_codes(spark, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
+             for k in ("area", "job_cat", "industry")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -8,8 +8,8 @@ runs), so lineage cuts always land on storage every executor can read.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,16 +68,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark).replace("file:", "")
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_SEQ)}")
-
-
-def _counter():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_SEQ = _counter()
+    """A fresh, never reused sub-folder of the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
