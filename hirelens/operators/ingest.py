@@ -42,8 +42,9 @@ def _lit_date(d) -> Column:
     return F.lit(d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)))
 
 
-def response_class(result: Column = F.col("result")) -> Column:
+def response_class(result: Column | None = None) -> Column:
     """Error / no_data / no_list / valid."""
+    result = F.col("result") if result is None else result
     return (F.when(result.getField("error").isNotNull(), F.lit("error"))
             .when(result.getField("data").isNull(), F.lit("no_data"))
             .when(result.getField("data").getField("list").isNull(), F.lit("no_list"))
