@@ -163,3 +163,20 @@ def q_page_keyword_match(spark, sf):
     r = X.responses_df(spark, sf)
     plan = r.where(F.col("keyword").isin("Python", "SRE")).select("keyword", "crawl_url")
     return I.page_keyword_match(r, plan).select("keyword", "page_key")
+
+
+@register("daily_ingest_batch", f"""
+WITH jobs AS ({JOBS_SQL}), hits AS ({HITS_SQL}),
+st AS (SELECT jobNo, status FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
+bt AS (SELECT DISTINCT jobNo FROM hits WHERE jobNo IS NOT NULL AND page_key % 29 <> 0),
+j AS (SELECT st.jobNo IS NOT NULL AS in_s, bt.jobNo IS NOT NULL AS in_b, coalesce(st.status, 'active') AS s_status
+      FROM st FULL OUTER JOIN bt ON st.jobNo = bt.jobNo)
+SELECT CASE WHEN in_s AND in_b AND s_status = 'inactive' THEN 'reactivated' WHEN in_s AND in_b THEN 'kept'
+            WHEN in_b THEN 'new' WHEN s_status = 'active' THEN 'delisted' ELSE 'untouched' END AS change,
+       count(*) AS n
+FROM j GROUP BY 1""")
+def q_daily_ingest_batch(spark, sf):
+    """Responses -> posting batch -> lifecycle merge against the stored state."""
+    from hirelens.plans.reports import daily_ingest
+    state = X.jobs_df(spark, sf).where(F.col("jobNo").cast("bigint") % 3 != 0)
+    return daily_ingest(X.responses_df(spark, sf), state, as_of=AS_OF)["change_counts"]
