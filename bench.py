@@ -29,7 +29,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or (HEADLINE if os.environ.get("BENCH_ALL") != "1" else None)
-    spark = get_session(f"local[{cpus}]", int(cpus) * 2,
+    spark = get_session(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
                         extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     qs = queries()
     names = names or sorted(qs)

@@ -112,6 +112,25 @@ def hits_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[c.alias(n) for n, c in cols.items()])
 
 
+def hit_keywords_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (jobNo, search_keyword, ord) part of raw_hits, from lineitem alone.
+
+    Enough for the keyword lists of ``jobs``: hits whose order does not exist
+    drop out in the left join onto orders, so no lineitem ⋈ orders join is
+    needed here.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    return li.select(
+        F.when(F.col("l_partkey") % 101 == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("l_orderkey").cast("string")).alias("jobNo"),
+        F.when(F.col("l_suppkey") % 37 == 0, F.lit(None).cast("string"))
+         .otherwise(_pick(KEYWORDS, F.col("l_partkey") % 8)).alias("search_keyword"),
+        F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+                 F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"),
+                 F.col("l_orderkey").alias("okey")).alias("ord"))
+
+
 def link_string(link: Column) -> Column:
     """String form of the link struct (as stored by older crawls)."""
     parts = [F.concat(F.lit("'applyAnalyze': "), link.applyAnalyze),
@@ -156,7 +175,7 @@ def jobs_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFra
     )
     base = (base.withColumn("city", P.split_city("jobAddrNoDesc"))
                 .withColumn("district", P.split_district("jobAddrNoDesc")))
-    kws = keyword_lists_df(hits_df(spark, sf_dir))
+    kws = keyword_lists_df(hit_keywords_df(spark, sf_dir))
     return (base.join(kws, "jobNo", "left")
             .withColumn("search_keyword", F.coalesce("search_keyword", F.array().cast("array<string>"))))
 
