@@ -34,6 +34,9 @@ EXPERIENCE = ["不拘", "1年以上", "3年以上", None]
 EDUCATION = ["高中", "專科", "大學", "碩士"]
 KEYWORDS = ["Python", "django", "fastapi", "flask", "DevOps", "SRE", "K8S", "JAVA"]
 LINK_HOST = "//www.104.com.tw"
+# A fetched page holds the hits of one (keyword, supplier, block of PAGE_ORDERS
+# orders): page size stays bounded however large the tables grow.
+PAGE_ORDERS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +112,7 @@ def hits_df(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"),
                            F.col("l_orderkey").alias("okey"))
     cols["page_key"] = F.col("l_suppkey")
+    cols["page_block"] = F.floor(F.col("l_orderkey") / PAGE_ORDERS)
     return j.select(*[c.alias(n) for n, c in cols.items()])
 
 
@@ -181,26 +185,26 @@ def jobs_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFra
 
 
 def responses_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
-    """One fetched search page per (keyword, l_suppkey) group of hits.
+    """One fetched search page per (keyword, l_suppkey, l_orderkey div 1000) group of hits.
 
-    Groups with ``l_suppkey % 29 == 0`` are failed fetches (error text, null data).
-    Page size is bounded by hits per (keyword, supplier); the page list is
-    built by a hash aggregation over all hits.
+    Pages with ``l_suppkey % 29 == 0`` are failed fetches (error text, null data).
+    A page holds at most the hits of 1,000 orders, so the collected list per
+    group is bounded no matter how large (or skewed) the tables are.
     """
     h = hits_df(spark, sf_dir)
     posting = F.struct(*[F.col(c) for c in (
         "jobNo", "jobName", "custName", "coIndustryDesc", "jobDetail", "jobAddrNo", "jobAddrNoDesc",
         "link", "appearDate", "salaryDesc", "applyDesc", "periodDesc", "optionEdu")])
-    g = (h.groupBy(F.col("search_keyword").alias("keyword"), "page_key")
+    g = (h.groupBy(F.col("search_keyword").alias("keyword"), "page_key", "page_block")
          .agg(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), posting.alias("p")))).alias("items")))
     failed = F.col("page_key") % 29 == 0
     data = F.struct(F.lit(1).alias("totalPage"), F.size("items").alias("totalCount"),
                     F.transform("items", lambda e: e["p"]).alias("list"))
-    url = P.search_url(F.col("keyword"), F.col("page_key"))
+    url = P.search_url(F.col("keyword"), F.col("page_block") + 1, F.col("page_key"))
     return g.select(
         F.lit(as_of.isoformat()).alias("today"),
         url.alias("url"), url.alias("first_url"), url.alias("crawl_url"),
-        "keyword", "page_key",
+        "keyword", "page_key", "page_block",
         F.when(failed, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
         F.struct(F.when(failed, F.lit("upstream error")).alias("error"),
                  F.when(~failed, data).alias("data")).alias("result"))
@@ -265,7 +269,8 @@ HITS_SQL = f"""
   SELECT CASE WHEN l.l_partkey % 101 = 0 THEN NULL ELSE CAST(o.o_orderkey AS VARCHAR) END AS jobNo,
          CASE WHEN l.l_suppkey % 37 = 0 THEN NULL ELSE {_sql_pick(KEYWORDS, 'l.l_partkey % 8')} END AS search_keyword,
          l.l_linenumber AS ord_line, l.l_partkey AS ord_part, l.l_suppkey AS ord_supp,
-         l.l_extendedprice AS ord_price, l.l_orderkey AS ord_okey, l.l_suppkey AS page_key{_sql_posting_cols('o.o_orderkey')}
+         l.l_extendedprice AS ord_price, l.l_orderkey AS ord_okey, l.l_suppkey AS page_key,
+         l.l_orderkey // {PAGE_ORDERS} AS page_block{_sql_posting_cols('o.o_orderkey')}
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
                   JOIN customer c ON o.o_custkey = c.c_custkey
 """

@@ -11,7 +11,7 @@ the pivot over an explicit label list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens import constants as C
@@ -26,11 +26,15 @@ def _cnt(name: str = "job_count"):
 # Industry (A6, A7, A8, O5, O9)
 # ---------------------------------------------------------------------------
 def industry_share(jobs: DataFrame, industry_col: str = "coIndustryDesc") -> DataFrame:
-    """Count per industry (nulls excluded) and share % of **all** rows."""
-    total = jobs.select(F.count(F.lit(1))).scalar()
-    return (jobs.where(F.col(industry_col).isNotNull())
-            .groupBy(F.col(industry_col).alias("industry")).agg(_cnt())
-            .withColumn("share_pct", F.col("job_count") / total * F.lit(100.0)))
+    """Count per industry (nulls excluded) and share % of **all** rows.
+
+    One scan: the NULL-industry group is counted too, the total is a window
+    sum over the (few) aggregated groups, and the NULL group is dropped last.
+    """
+    groups = jobs.groupBy(F.col(industry_col).alias("industry")).agg(_cnt())
+    total = F.sum("job_count").over(Window.partitionBy())
+    return (groups.withColumn("share_pct", F.col("job_count") / total * F.lit(100.0))
+            .where(F.col("industry").isNotNull()))
 
 
 def top_n(df: DataFrame, n: int, by: str = "job_count", key: str | list[str] = "industry") -> DataFrame:
@@ -83,6 +87,11 @@ def industry_growth(jobs: DataFrame, industry_col: str = "coIndustryDesc") -> Da
             .withColumn("growth_rate", P.growth_label("first_count", "growth")))
 
 
+def industry_growth_table(jobs: DataFrame, industry_col: str = "coIndustryDesc") -> DataFrame:
+    """The growth table sorted by growth, largest first (industry tie-break)."""
+    return industry_growth(jobs, industry_col).orderBy(F.desc("growth"), F.asc("industry"))
+
+
 def industry_month_wide(jobs: DataFrame, months: list[str], industry_col: str = "coIndustryDesc") -> DataFrame:
     """A8 wide form over an explicit month list (0-filled)."""
     return (_with_month(jobs).where(F.col(industry_col).isNotNull())

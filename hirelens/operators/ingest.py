@@ -30,6 +30,7 @@ RESPONSE_TYPE = T.StructType([
     T.StructField("today", T.StringType()), T.StructField("url", T.StringType()),
     T.StructField("first_url", T.StringType()), T.StructField("crawl_url", T.StringType()),
     T.StructField("keyword", T.StringType()), T.StructField("page_key", T.LongType()),
+    T.StructField("page_block", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("result", T.StructType([
         T.StructField("error", T.StringType()),
@@ -58,16 +59,16 @@ def response_classes(responses: DataFrame) -> DataFrame:
 def explode_responses(responses: DataFrame, as_of) -> DataFrame:
     """S18 + P21: one row per posting of every valid page, tagged with the
     page keyword and ingest metadata, with the arrival ordinal
-    ``ord = (page_key, pos)``.
+    ``ord = (page_key, page_block, pos)``.
     """
     ok = responses.where(response_class() == "valid")
-    ex = ok.select("keyword", "page_key", F.posexplode("result.data.list").alias("pos", "p"))
+    ex = ok.select("keyword", "page_key", "page_block", F.posexplode("result.data.list").alias("pos", "p"))
     today = _lit_date(as_of)
     return ex.select(
         "p.*",
         F.when(F.col("keyword").isNotNull() & (F.col("keyword") != ""), F.col("keyword")).alias("search_keyword"),
-        F.struct(F.col("page_key"), F.col("pos")).alias("ord"),
-        "page_key", "pos",
+        F.struct(F.col("page_key"), F.col("page_block"), F.col("pos")).alias("ord"),
+        "page_key", "page_block", "pos",
     ).withColumns({
         "crawl_date": today,
         "status": F.lit(C.STATUS_ACTIVE),
@@ -113,7 +114,7 @@ def parse_fields(postings: DataFrame) -> DataFrame:
 
 def prepare_batch(responses: DataFrame, as_of) -> DataFrame:
     """S18 → P21 → A26 → F4–F7: the posting batch of one crawl day."""
-    merged = merge_postings(explode_responses(responses, as_of).drop("page_key", "pos"))
+    merged = merge_postings(explode_responses(responses, as_of).drop("page_key", "page_block", "pos"))
     return parse_fields(merged)
 
 

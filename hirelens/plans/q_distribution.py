@@ -228,3 +228,15 @@ FROM m GROUP BY 1"""))
 def q_industry_month_wide(spark, sf):
     return D.industry_month_wide(X.jobs_df(spark, sf), ["2001-06", "2001-07", "2001-08"])
 
+
+
+@register("industry_growth_table", _q(MONTHS + f""",
+g AS (SELECT coIndustryDesc AS industry,
+             count(*) FILTER (WHERE month = (SELECT min(month) FROM m) AND jobNo IS NOT NULL) AS first_count,
+             count(*) FILTER (WHERE month = (SELECT max(month) FROM m) AND jobNo IS NOT NULL) AS last_count
+      FROM m GROUP BY 1)
+SELECT industry, last_count - first_count AS growth,
+       {S.growth_label('first_count', '(last_count - first_count)')} AS growth_rate
+FROM g ORDER BY growth DESC, industry"""))
+def q_industry_growth_table(spark, sf):
+    return D.industry_growth_table(X.jobs_df(spark, sf)).select("industry", "growth", "growth_rate")

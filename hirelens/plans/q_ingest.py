@@ -15,15 +15,15 @@ URL_SQL = ("'https://www.104.com.tw/jobs/search/list?keyword=' || coalesce({kw},
 
 
 @register("explode_responses", with_hits(f"""
-SELECT jobNo, jobName, search_keyword, page_key,
-       CAST(row_number() OVER (PARTITION BY search_keyword, page_key
+SELECT jobNo, jobName, search_keyword, page_key, page_block,
+       CAST(row_number() OVER (PARTITION BY search_keyword, page_key, page_block
                                ORDER BY ord_line, ord_part, ord_supp, ord_price, ord_okey) - 1 AS INTEGER) AS pos,
        {AS_OF_SQL} AS crawl_date, 'active' AS status, coalesce(jobAddrNo, '') AS area_code,
        coalesce(jobAddrNoDesc, '') AS area_name
 FROM hits WHERE page_key % 29 <> 0"""))
 def q_explode_responses(spark, sf):
     return I.explode_responses(X.responses_df(spark, sf), AS_OF).select(
-        "jobNo", "jobName", "search_keyword", "page_key", "pos", "crawl_date", "status", "area_code", "area_name")
+        "jobNo", "jobName", "search_keyword", "page_key", "page_block", "pos", "crawl_date", "status", "area_code", "area_name")
 
 
 @register("merged_keywords", with_hits(f"""
@@ -31,13 +31,13 @@ SELECT ids.jobNo, ids.custName, coalesce(array_to_string(kl.search_keyword, '|')
 FROM (SELECT jobNo, min(custName) AS custName FROM hits WHERE jobNo IS NOT NULL GROUP BY 1) ids
 LEFT JOIN ({KEYWORD_LISTS_SQL}) kl ON kl.jobNo = ids.jobNo"""))
 def q_merged_keywords(spark, sf):
-    m = I.merge_postings(X.hits_df(spark, sf).drop("page_key"))
+    m = I.merge_postings(X.hits_df(spark, sf).drop("page_key", "page_block"))
     return m.select("jobNo", "custName", F.array_join("search_keyword", "|").alias("search_keyword"))
 
 
 @register("response_classes", with_hits("""
 SELECT CASE WHEN page_key % 29 = 0 THEN 'error' ELSE 'valid' END AS response_class, count(*) AS page_count
-FROM (SELECT DISTINCT search_keyword, page_key FROM hits) GROUP BY 1"""))
+FROM (SELECT DISTINCT search_keyword, page_key, page_block FROM hits) GROUP BY 1"""))
 def q_response_classes(spark, sf):
     return I.response_classes(X.responses_df(spark, sf))
 
@@ -46,7 +46,8 @@ def q_response_classes(spark, sf):
 SELECT keyword, count(*) FILTER (WHERE page_key % 29 <> 0) AS pages_ok,
        count(*) FILTER (WHERE page_key % 29 = 0) AS pages_failed,
        CAST(coalesce(sum(n) FILTER (WHERE page_key % 29 <> 0), 0) AS BIGINT) AS jobs_fetched
-FROM (SELECT search_keyword AS keyword, page_key, count(*) AS n FROM hits GROUP BY 1, 2) GROUP BY 1"""))
+FROM (SELECT search_keyword AS keyword, page_key, page_block, count(*) AS n FROM hits GROUP BY 1, 2, 3)
+GROUP BY 1"""))
 def q_fetch_stats(spark, sf):
     return I.fetch_stats(X.responses_df(spark, sf))
 
@@ -111,8 +112,8 @@ def q_existing_statuses(spark, sf):
 
 
 @register("crawl_log_upsert", with_hits(f"""
-, pages AS (SELECT DISTINCT search_keyword AS keyword, page_key FROM hits)
-SELECT keyword, {URL_SQL.format(kw='keyword', page='page_key', area="''")} AS crawl_url,
+, pages AS (SELECT DISTINCT search_keyword AS keyword, page_key, page_block FROM hits)
+SELECT keyword, {URL_SQL.format(kw='keyword', page='page_block + 1', area='CAST(page_key AS VARCHAR)')} AS crawl_url,
        CASE WHEN page_key % 2 = 0 THEN 'ok' WHEN page_key % 29 = 0 THEN 'error' ELSE 'ok' END AS status,
        CASE WHEN page_key % 2 = 0 THEN 1 ELSE 0 END AS seq
 FROM pages"""))
@@ -157,12 +158,12 @@ def q_frontier_pending(spark, sf):
 
 
 @register("page_keyword_match", with_hits("""
-SELECT search_keyword AS keyword, page_key FROM (SELECT DISTINCT search_keyword, page_key FROM hits)
+SELECT search_keyword AS keyword, page_key, page_block FROM (SELECT DISTINCT search_keyword, page_key, page_block FROM hits)
 WHERE search_keyword IN ('Python', 'SRE')"""))
 def q_page_keyword_match(spark, sf):
     r = X.responses_df(spark, sf)
     plan = r.where(F.col("keyword").isin("Python", "SRE")).select("keyword", "crawl_url")
-    return I.page_keyword_match(r, plan).select("keyword", "page_key")
+    return I.page_keyword_match(r, plan).select("keyword", "page_key", "page_block")
 
 
 @register("daily_ingest_batch", f"""

@@ -163,3 +163,43 @@ ORDER BY shelf_days_before_delisting DESC NULLS LAST, jobNo ASC NULLS LAST LIMIT
 def q_delisted_sorted(spark, sf):
     return T.delisted_sorted(X.jobs_df(spark, sf), "longest", 10).select(
         "jobNo", "jobName", "custName", "appear_dt", "delisted_dt", "shelf_days_before_delisting")
+
+
+@register("daily_detail_rows", _cte(DATES, """,
+pd AS (SELECT appear_dt AS date, count(jobNo) AS job_count FROM d GROUP BY 1),
+dd AS (SELECT date, job_count, job_count - lag(job_count) OVER (ORDER BY date) AS count_diff FROM pd)
+SELECT d.appear_dt, d.jobNo, d.jobName, d.custName, d.job, d.city, d.district,
+       array_to_string(d.search_keyword, '|') AS search_keyword, dd.job_count, dd.count_diff
+FROM d JOIN dd ON d.appear_dt = dd.date"""))
+def q_daily_detail_rows(spark, sf):
+    return T.daily_detail_rows(X.jobs_df(spark, sf)).select(
+        "appear_dt", "jobNo", "jobName", "custName", "job", "city", "district",
+        F.array_join("search_keyword", "|").alias("search_keyword"), "job_count", "count_diff")
+
+
+@register("trend_with_delisted", _cte(STATS + """,
+dl AS (SELECT delisted_dt AS date, count(*) AS delisted_count FROM d
+       WHERE status = 'inactive' AND delisted_dt IS NOT NULL GROUP BY 1)""", """
+SELECT s.date, s.total_jobs, s.new_jobs, s.removed_jobs, CAST(coalesce(dl.delisted_count, 0) AS BIGINT) AS delisted_count,
+       s.new_jobs - s.removed_jobs AS net_change,
+       CAST(sum(s.new_jobs - s.removed_jobs) OVER (ORDER BY s.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+         AS cumulative_change
+FROM stats s LEFT JOIN dl ON s.date = dl.date"""))
+def q_trend_with_delisted(spark, sf):
+    jobs = X.jobs_df(spark, sf)
+    return T.chart_data(T.trend_stats(jobs), T.delisted_by_date(jobs))
+
+
+@register("previous_present_day", _cte(DATES, """
+SELECT day, lag(day) OVER (ORDER BY day) AS prev_day FROM (SELECT DISTINCT appear_dt AS day FROM d)"""))
+def q_previous_present_day(spark, sf):
+    return T.previous_present_day(X.jobs_df(spark, sf))
+
+
+@register("month_list", _cte(DAILY, """
+SELECT strftime(m, '%Y年%m月') AS month_label, CAST(m AS DATE) AS month_start
+FROM (SELECT unnest(generate_series(CAST(date_trunc('month', (SELECT min(date) FROM daily)) AS TIMESTAMP),
+                                    CAST(date_trunc('month', (SELECT max(date) FROM daily)) AS TIMESTAMP),
+                                    INTERVAL 1 MONTH)) AS m)"""))
+def q_month_list(spark, sf):
+    return T.month_list(T.daily_job_changes(X.jobs_df(spark, sf)))
