@@ -65,3 +65,15 @@ def q_recent_50(spark, sf):
 @register("file_store_lookup", with_jobs("SELECT jobNo, jobName, custName FROM jobs WHERE jobNo = '4242'"))
 def q_file_store_lookup(spark, sf):
     return IO.file_store_get(X.jobs_df(spark, sf), job_no="4242").select("jobNo", "jobName", "custName")
+
+
+@register("incremental_published", with_jobs(f"""
+SELECT jobNo, crawl_date, status FROM jobs WHERE crawl_date >= DATE '2001-08-02' - 3"""))
+def q_incremental_published(spark, sf):
+    """S14 on the published table: partitioned by crawl_date, so the slice prunes partitions."""
+    from hirelens.fixtures import AS_OF
+    from hirelens.operators.filters import incremental_slice
+    path, _ = IO.publish(X.jobs_df(spark, sf).select("jobNo", "crawl_date", "status"),
+                         scratch_path(spark, "news-jobs-by-day"), version="1", partition_by=["crawl_date"])
+    return incremental_slice(IO.read_parquet(spark, path), as_of=AS_OF, days_ago=3) \
+        .select("jobNo", "crawl_date", "status")

@@ -82,6 +82,17 @@ def publish(df: DataFrame, base_path: str, version: str | None = None,
     return path, int(obs.get["rows"])
 
 
+def publish_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "jobNo") -> None:
+    """Snapshot as a table bucketed (and sorted) by ``key``.
+
+    A later join / merge on ``key`` against an equally bucketed side reads
+    the snapshot without shuffling it: the daily lifecycle merge then moves
+    only the day's batch, not the whole stored state.
+    """
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(table))
+
+
 def recent_rows(df: DataFrame, n: int = C.RECENT_EXPORT_ROWS, key: str = "jobNo") -> DataFrame:
     """S7 + S16 + O2: newest ``n`` rows by the first date-like column
     (else ``key``), descending, nulls last, ties broken by ``key`` desc.
