@@ -117,3 +117,22 @@ def test_limit_before_filter_parity(spark):
                                      "status string, delisted_date string, city string").orderBy("jobNo")
     assert FL.load_jobs(df, as_of=AS_OF, city="台北市", limit=4).count() == 4
     assert FL.load_jobs(df, as_of=AS_OF, city="台北市", limit=4, limit_before_filter=True).count() == 2
+
+
+def test_merge_postings_hot_key(spark):
+    """One posting holds a third of all hits: still one row with its distinct keywords, nothing dropped."""
+    n = 30000
+    rows = [("hot" if i % 3 == 0 else f"j{i}", f"name{i}", ["python", "go", "sre", None][i % 4], i) for i in range(n)]
+    hits = spark.createDataFrame(rows, "jobNo string, jobName string, search_keyword string, ord int")
+    out = I.merge_postings(hits)
+    assert out.count() == 1 + (n - n // 3)
+    hot = out.where(F.col("jobNo") == "hot").first()
+    assert hot["jobName"] == "name0"
+    assert hot["search_keyword"] == ["python", "sre", "go"]  # first-seen order: i=0 python, 3 None, 6 sre, 9 go
+
+
+def test_day_counts_hot_day(spark):
+    rows = [(str(i), "n", "c", "20010101" if i % 3 == 0 else f"200102{(i % 28) + 1:02d}", "active", None)
+            for i in range(9000)]
+    out = {r["date"]: r["new_jobs"] for r in T.day_counts(_jobs(spark, rows)).collect()}
+    assert sum(out.values()) == 9000 and out[dt.date(2001, 1, 1)] == 3000
