@@ -144,23 +144,35 @@ def day_over_day_diff(jobs: DataFrame, selected_date=None) -> DataFrame:
     ``only_curr`` = rows of ``d`` whose ``jobName|custName`` key is absent on
     ``p``; ``only_prev`` = rows of ``p`` whose key is absent on ``d``.
     Duplicate rows are kept; NULL keys never match and are excluded.
-    Done for all days at once with two anti joins keyed on (day, key).
+
+    All days at once, three shuffles: distinct (day, key) pairs (partial
+    aggregation), a window per key ordered by day giving the key's previous
+    and next day (at most one row per day per key, so a hot key is bounded
+    by the calendar), and one join of the posting rows back to those flags.
+    Day neighbours come from the day-level chain (one row per day).
     """
-    d = with_dates(jobs).withColumn("pkey", P.posting_key()).where(F.col("pkey").isNotNull())
-    days = d.select(F.col("appear_dt").alias("day")).distinct()
-    chain = days.select("day", F.lag("day").over(Window.orderBy("day")).alias("prev_day")) \
-                .where(F.col("prev_day").isNotNull())
+    d = with_dates(jobs).withColumn("pkey", P.posting_key()).where(F.col("pkey").isNotNull()) \
+        .select(F.col("appear_dt").alias("day"), "pkey", "jobNo", "jobName", "custName")
+    keys = d.select("day", "pkey").distinct()
+    wk = Window.partitionBy("pkey").orderBy("day")
+    chain_w = Window.orderBy("day")
+    chain = keys.select("day").distinct().select(
+        "day", F.lag("day").over(chain_w).alias("prev_day"), F.lead("day").over(chain_w).alias("next_day"))
+    flags = (keys.select("day", "pkey", F.lag("day").over(wk).alias("key_prev"), F.lead("day").over(wk).alias("key_next"))
+             .join(chain, "day")
+             .select("day", "pkey", "prev_day", "next_day",
+                     (F.col("prev_day").isNotNull() & ~F.col("key_prev").eqNullSafe(F.col("prev_day"))).alias("is_new"),
+                     (F.col("next_day").isNotNull() & ~F.col("key_next").eqNullSafe(F.col("next_day"))).alias("is_gone"))
+             .where(F.col("is_new") | F.col("is_gone")))
+    rows = d.join(flags, ["day", "pkey"])
+    cols = ["jobNo", "jobName", "custName", F.col("pkey").alias("posting_key")]
+    curr = rows.where("is_new").select(F.lit("only_curr").alias("change"), "day", "prev_day", *cols)
+    prev = rows.where("is_gone").select(F.lit("only_prev").alias("change"), F.col("next_day").alias("day"),
+                                        F.col("day").alias("prev_day"), *cols)
+    out = curr.unionByName(prev)
     if selected_date is not None:
-        chain = chain.where(F.col("day") == _lit_date(selected_date))
-    keys = d.select(F.col("appear_dt").alias("kday"), F.col("pkey").alias("kkey")).distinct()
-    cols = ["jobNo", "jobName", "custName", "pkey"]
-    curr = (d.join(chain, d.appear_dt == chain.day, "inner")
-            .join(keys, (F.col("prev_day") == keys.kday) & (F.col("pkey") == keys.kkey), "left_anti")
-            .select(F.lit("only_curr").alias("change"), "day", "prev_day", *cols))
-    prev = (d.join(chain, d.appear_dt == chain.prev_day, "inner")
-            .join(keys, (F.col("day") == keys.kday) & (F.col("pkey") == keys.kkey), "left_anti")
-            .select(F.lit("only_prev").alias("change"), "day", "prev_day", *cols))
-    return curr.unionByName(prev).withColumnRenamed("pkey", "posting_key")
+        out = out.where(F.col("day") == _lit_date(selected_date))
+    return out
 
 
 def previous_present_day(jobs: DataFrame) -> DataFrame:
