@@ -165,11 +165,15 @@ def day_over_day_diff(jobs: DataFrame, selected_date=None) -> DataFrame:
                      (F.col("next_day").isNotNull() & ~F.col("key_next").eqNullSafe(F.col("next_day"))).alias("is_gone"))
              .where(F.col("is_new") | F.col("is_gone")))
     rows = d.join(flags, ["day", "pkey"])
-    cols = ["jobNo", "jobName", "custName", F.col("pkey").alias("posting_key")]
-    curr = rows.where("is_new").select(F.lit("only_curr").alias("change"), "day", "prev_day", *cols)
-    prev = rows.where("is_gone").select(F.lit("only_prev").alias("change"), F.col("next_day").alias("day"),
-                                        F.col("day").alias("prev_day"), *cols)
-    out = curr.unionByName(prev)
+    # One pass emits both kinds: a row can be new on its day and gone the next.
+    sides = F.filter(F.array(
+        F.when(F.col("is_new"), F.struct(F.lit("only_curr").alias("change"), F.col("day").alias("d"),
+                                         F.col("prev_day").alias("p"))),
+        F.when(F.col("is_gone"), F.struct(F.lit("only_prev").alias("change"), F.col("next_day").alias("d"),
+                                          F.col("day").alias("p")))), lambda x: x.isNotNull())
+    out = rows.select(F.explode(sides).alias("s"), "jobNo", "jobName", "custName", "pkey") \
+        .select(F.col("s.change").alias("change"), F.col("s.d").alias("day"), F.col("s.p").alias("prev_day"),
+                "jobNo", "jobName", "custName", F.col("pkey").alias("posting_key"))
     if selected_date is not None:
         out = out.where(F.col("day") == _lit_date(selected_date))
     return out
