@@ -43,6 +43,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_PLANS: dict = {}
+
+
+def _memo(fn):
+    """Reuse the (immutable) fixture DataFrame per (session, folder, args).
+
+    Only the logical plan object is reused — building it costs hundreds of
+    py4j calls; nothing is cached or materialised, every query still reads
+    the tables in full.
+    """
+    def wrapper(spark, sf_dir, *args):
+        key = (fn.__name__, id(spark), sf_dir, args)
+        hit = _PLANS.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = (spark, fn(spark, sf_dir, *args))
+            _PLANS[key] = hit
+        return hit[1]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 # ---------------------------------------------------------------------------
 # Spark side
 # ---------------------------------------------------------------------------
@@ -96,6 +118,7 @@ def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey, "inner")
 
 
+@_memo
 def hits_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_hits: one row per hit, with the arrival ordinal ``ord``."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -116,6 +139,7 @@ def hits_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[c.alias(n) for n, c in cols.items()])
 
 
+@_memo
 def hit_keywords_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The (jobNo, search_keyword, ord) part of raw_hits, from lineitem alone.
 
@@ -157,6 +181,7 @@ def keyword_lists_df(hits: DataFrame) -> DataFrame:
             .select("jobNo", F.transform("kw", lambda e: e["search_keyword"]).alias("search_keyword")))
 
 
+@_memo
 def jobs_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
     """jobs / news_jobs snapshot: one row per posting (unique jobNo)."""
     oc = _orders_customers(spark, sf_dir)
@@ -184,6 +209,7 @@ def jobs_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFra
             .withColumn("search_keyword", F.coalesce("search_keyword", F.array().cast("array<string>"))))
 
 
+@_memo
 def responses_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFrame:
     """One fetched search page per (keyword, l_suppkey, l_orderkey div 1000) group of hits.
 
