@@ -72,15 +72,17 @@ def industry_growth(jobs: DataFrame, industry_col: str = "coIndustryDesc") -> Da
     """A8 + F11 (+O9 order): first-month and last-month counts per industry,
     growth = last − first, numeric growth % and its label.
 
-    First / last month are global (the first and last pivot columns), read
-    as scalar subqueries; one conditional aggregation per industry.
+    One scan: the (industry, month) counts are aggregated first; the global
+    first / last month (the first and last pivot columns) are window
+    min / max over those few aggregated rows.
     """
-    m = _with_month(jobs).where(F.col(industry_col).isNotNull())
-    first = m.select(F.min("month")).scalar()
-    last = m.select(F.max("month")).scalar()
-    agg = m.groupBy(F.col(industry_col).alias("industry")).agg(
-        F.count_if((F.col("month") == first) & F.col("jobNo").isNotNull()).alias("first_count"),
-        F.count_if((F.col("month") == last) & F.col("jobNo").isNotNull()).alias("last_count"))
+    mc = industry_month_counts(jobs, industry_col)
+    everything = Window.partitionBy()
+    mc = mc.withColumns({"first_month": F.min("month").over(everything),
+                         "last_month": F.max("month").over(everything)})
+    agg = mc.groupBy("industry").agg(
+        F.sum(F.when(F.col("month") == F.col("first_month"), F.col("job_count")).otherwise(0)).alias("first_count"),
+        F.sum(F.when(F.col("month") == F.col("last_month"), F.col("job_count")).otherwise(0)).alias("last_count"))
     g = F.col("last_count") - F.col("first_count")
     return (agg.withColumn("growth", g)
             .withColumn("growth_pct", P.growth_pct("first_count", "growth"))
@@ -100,11 +102,17 @@ def industry_month_wide(jobs: DataFrame, months: list[str], industry_col: str =
 
 
 def top_industry_trend(jobs: DataFrame, n: int = 5, industry_col: str = "coIndustryDesc") -> DataFrame:
-    """O5 + P19: monthly counts of the ``n`` industries largest in the latest month."""
-    mc = industry_month_counts(jobs, industry_col)
-    last = mc.select(F.max("month")).scalar()
-    top = top_n(mc.where(F.col("month") == last), n, "job_count", "industry").select("industry")
-    return mc.join(F.broadcast(top), "industry", "left_semi")
+    """O5 + P19: monthly counts of the ``n`` industries largest in the latest month.
+
+    One scan: rank industries inside the latest month with a window over the
+    aggregated (industry, month) rows, then keep the top ``n`` industries.
+    """
+    mc = industry_month_counts(jobs, industry_col).withColumn(
+        "last_month", F.max("month").over(Window.partitionBy()))
+    latest_rank = F.row_number().over(Window.partitionBy("month").orderBy(F.desc("job_count"), F.asc("industry")))
+    ranked = mc.withColumn("_r", F.when(F.col("month") == F.col("last_month"), latest_rank))
+    top = F.min("_r").over(Window.partitionBy("industry"))
+    return ranked.withColumn("_top", top).where(F.col("_top") <= n).drop("_r", "_top", "last_month")
 
 
 # ---------------------------------------------------------------------------
