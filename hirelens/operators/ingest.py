@@ -133,7 +133,7 @@ def fetch_stats(responses: DataFrame) -> DataFrame:
 MAX_AREAS = 100_000
 
 
-def crawl_frontier(keywords: DataFrame, areas: DataFrame, total_pages: Column | None = None) -> DataFrame:
+def crawl_frontier(keywords: DataFrame, areas: DataFrame) -> DataFrame:
     """J10 + F12 + U3: every keyword in every area, pages 1..totalPage, with URLs.
 
     The area list is a code dimension (hundreds of entries); it is carried as

@@ -153,3 +153,13 @@ SELECT DISTINCT district FROM jobs
 WHERE city IS NOT NULL AND city <> '' AND district IS NOT NULL AND district <> ''"""))
 def q_district_union(spark, sf):
     return DM.all_districts(DM.districts_from_postings(X.jobs_df(spark, sf)))
+
+
+@register("dashboard_base", with_jobs(f"""
+SELECT jobNo, appearDate, city, array_to_string(search_keyword, '|') AS search_keyword FROM jobs
+WHERE status = 'active' AND CAST(strptime(appearDate, '%Y%m%d') AS DATE) >= {AS_OF_SQL} - 720
+  AND contains(lower(array_to_string(search_keyword, ' ')), 'python') AND city = '台北市'"""))
+def q_dashboard_base(spark, sf):
+    """S1 + P2 + P3 + P4 + P6: the dashboard's data load, filters before any limit."""
+    out = FL.load_jobs(X.jobs_df(spark, sf), as_of=AS_OF, months=24, keywords=["Python"], city="台北市")
+    return out.select("jobNo", "appearDate", "city", F.array_join("search_keyword", "|").alias("search_keyword"))

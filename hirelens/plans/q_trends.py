@@ -203,3 +203,21 @@ FROM (SELECT unnest(generate_series(CAST(date_trunc('month', (SELECT min(date) F
                                     INTERVAL 1 MONTH)) AS m)"""))
 def q_month_list(spark, sf):
     return T.month_list(T.daily_job_changes(X.jobs_df(spark, sf)))
+
+
+def _delisted_mode_sql(order: str) -> str:
+    return _cte(DELISTED, f"""
+SELECT jobNo, jobName, custName, appear_dt, delisted_dt, shelf_days_before_delisting FROM dl
+ORDER BY {order}, jobNo ASC NULLS LAST LIMIT 10""")
+
+
+def _delisted_mode_query(mode: str):
+    def q(spark, sf):
+        return T.delisted_sorted(X.jobs_df(spark, sf), mode, 10).select(
+            "jobNo", "jobName", "custName", "appear_dt", "delisted_dt", "shelf_days_before_delisting")
+    return q
+
+
+for _mode, _order in (("latest", "delisted_dt DESC NULLS LAST"), ("earliest", "delisted_dt ASC NULLS LAST"),
+                      ("shortest", "shelf_days_before_delisting ASC NULLS LAST")):
+    register(f"delisted_sorted_{_mode}", _delisted_mode_sql(_order))(_delisted_mode_query(_mode))
