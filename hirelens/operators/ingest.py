@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,10 +112,25 @@ def parse_fields(postings: DataFrame) -> DataFrame:
     return out
 
 
-def prepare_batch(responses: DataFrame, as_of) -> DataFrame:
-    """S18 → P21 → A26 → F4–F7: the posting batch of one crawl day."""
-    merged = merge_postings(explode_responses(responses, as_of).drop("page_key", "page_block", "pos"))
-    return parse_fields(merged)
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Attach a row-count metric, filled in by whatever action runs the plan."""
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def prepare_batch(responses: DataFrame, as_of, metrics: dict | None = None) -> DataFrame:
+    """S18 → P21 → A26 → F4–F7: the posting batch of one crawl day.
+
+    With ``metrics={}``, row counts before and after the merge (A31) are
+    registered as ``metrics["hits"]`` / ``metrics["postings"]`` Observations.
+    """
+    hits = explode_responses(responses, as_of).drop("page_key", "page_block", "pos")
+    if metrics is not None:
+        hits, metrics["hits"] = observed(hits, "hits")
+    merged = parse_fields(merge_postings(hits))
+    if metrics is not None:
+        merged, metrics["postings"] = observed(merged, "postings")
+    return merged
 
 
 def fetch_stats(responses: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True
     """
     today = _lit_date(as_of)
     today_txt = F.date_format(today, "yyyy-MM-dd")
-    batch_nonempty = batch.select(F.count(F.lit(1)) > 0).scalar()
+    batch_nonempty = batch.limit(1).select(F.count(F.lit(1)) > 0).scalar()  # reads one row, not the batch
     s = state.alias("s")
     b = batch.withColumn("_in_batch", F.lit(True)).alias("b")
     j = s.join(b, F.col("s.jobNo") == F.col("b.jobNo"), "full_outer")
@@ -108,7 +108,7 @@ def change_counts(snapshot: DataFrame) -> DataFrame:
 
 def crawl_log_upsert(old: DataFrame, new: DataFrame,
                      key=("today", "keyword", "first_url", "crawl_url"), seq_col: str = "seq") -> DataFrame:
-    """S10 + W7: last write wins per composite key (hash aggregate with ``max_by``)."""
+    """S10 + W7: last write wins per composite key (one ``max_by`` aggregation, partial before the shuffle)."""
     rows = old.unionByName(new, allowMissingColumns=True)
     other = [c for c in rows.columns if c not in key]
     return (rows.groupBy(*key).agg(F.max_by(F.struct(*other), F.col(seq_col)).alias("_r"))

@@ -136,3 +136,12 @@ def test_day_counts_hot_day(spark):
             for i in range(9000)]
     out = {r["date"]: r["new_jobs"] for r in T.day_counts(_jobs(spark, rows)).collect()}
     assert sum(out.values()) == 9000 and out[dt.date(2001, 1, 1)] == 3000
+
+
+def test_prepare_batch_metrics(spark, sf):
+    from hirelens import fixtures as X
+    metrics = {}
+    batch = I.prepare_batch(X.responses_df(spark, sf), AS_OF, metrics)
+    n = batch.count()
+    assert metrics["postings"].get["rows"] == n
+    assert metrics["hits"].get["rows"] >= n
