@@ -22,10 +22,17 @@ def _to_long(c: Column) -> Column:
     return F.trim(c).try_cast("bigint")
 
 
+def _range_struct(lo: Column, hi: Column, with_avg: bool) -> Column:
+    fields = [lo.alias("min"), hi.alias("max")]
+    if with_avg:
+        fields.append(((lo + hi) / F.lit(2.0)).alias("avg"))
+    return F.struct(*fields)
+
+
 # --------------------------------------------------------------------------
 # F1 applicant band -> (min, max, avg)
 # --------------------------------------------------------------------------
-def applicant_range(desc) -> Column:
+def applicant_range(desc, with_avg: bool = True) -> Column:
     """``'11~30人應徵'`` -> struct(min=11, max=30, avg=20.5).
 
     Text before the first ``人``; ``a~b`` gives both ends, a single number
@@ -48,8 +55,7 @@ def applicant_range(desc) -> Column:
     hi = (F.when(usable & ok_range, b)
           .when(usable & ok_single, single)
           .otherwise(F.lit(0).cast("bigint")))
-    return F.struct(lo.alias("min"), hi.alias("max"),
-                    ((lo + hi) / F.lit(2.0)).alias("avg"))
+    return _range_struct(lo, hi, with_avg)
 
 
 # --------------------------------------------------------------------------
@@ -59,7 +65,7 @@ def _strip_money(c: Column) -> Column:
     return F.trim(F.translate(c, C.SALARY_STRIP_CHARS, ""))
 
 
-def salary_range(desc) -> Column:
+def salary_range(desc, with_avg: bool = True) -> Column:
     """Monthly salary range from a label.
 
     After ``月薪``: ``a~b`` (money signs and commas stripped) or a single
@@ -86,8 +92,7 @@ def salary_range(desc) -> Column:
           .when(m.isNotNull() & m_single_ok, ms)
           .when(hv.isNotNull(), hv)
           .otherwise(zero))
-    return F.struct(lo.alias("min"), hi.alias("max"),
-                    ((lo + hi) / F.lit(2.0)).alias("avg"))
+    return _range_struct(lo, hi, with_avg)
 
 
 # --------------------------------------------------------------------------
@@ -127,10 +132,12 @@ def split_district(addr) -> Column:
 # F5–F7 links
 # --------------------------------------------------------------------------
 def ensure_https(url) -> Column:
-    """Prefix ``https:`` when non-empty and not already http(s)."""
-    u = _col(url)
-    needs = (u != "") & ~u.startswith("http:") & ~u.startswith("https:")
-    return F.when(needs, F.concat(F.lit("https:"), u)).otherwise(u)
+    """Prefix ``https:`` when non-empty and not already http(s).
+
+    One ``regexp_replace`` (the input is referenced once, so an expensive
+    input expression such as a regex extraction is evaluated once).
+    """
+    return F.regexp_replace(_col(url), r"(?s)^(?!https?:)(.+)$", "https:$1")
 
 
 def link_urls_from_string(link) -> Column:

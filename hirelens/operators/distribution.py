@@ -189,14 +189,24 @@ def city_map(jobs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Applicants, competition, salary
 # ---------------------------------------------------------------------------
+def _staged(df: DataFrame, parsed, names: tuple[str, str, str]) -> DataFrame:
+    """Evaluate a parsed (min, max) struct once, then spread it into columns (+ avg).
+
+    The struct is computed in its own projection; Spark keeps that
+    projection rather than inlining the (non-trivial) expression three times.
+    """
+    tmp = "_parsed_" + names[0]
+    out = df.withColumn(tmp, parsed)
+    lo, hi = F.col(tmp)["min"], F.col(tmp)["max"]
+    return out.withColumns({names[0]: lo, names[1]: hi, names[2]: (lo + hi) / F.lit(2.0)}).drop(tmp)
+
+
 def with_applicants(df: DataFrame, col: str = "applyDesc") -> DataFrame:
-    r = P.applicant_range(col)
-    return df.withColumns({"min_applicants": r["min"], "max_applicants": r["max"], "avg_applicants": r["avg"]})
+    return _staged(df, P.applicant_range(col, with_avg=False), ("min_applicants", "max_applicants", "avg_applicants"))
 
 
 def with_salary(df: DataFrame, col: str = "salaryDesc") -> DataFrame:
-    r = P.salary_range(col)
-    return df.withColumns({"min_salary": r["min"], "max_salary": r["max"], "avg_salary": r["avg"]})
+    return _staged(df, P.salary_range(col, with_avg=False), ("min_salary", "max_salary", "avg_salary"))
 
 
 def with_competition(df: DataFrame, col: str = "applyDesc") -> DataFrame:
@@ -220,8 +230,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """
     x = F.col(col).cast("double")
     base = df.where(x.isNotNull())
-    lo = base.select(F.min(x)).scalar()
-    hi = base.select(F.max(x)).scalar()
+    bounds = base.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()  # one subquery
+    lo, hi = bounds["lo"], bounds["hi"]
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
