@@ -51,15 +51,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (a local test run) a private scratch folder is created and registered.
+    on a local master (tests, local runs) a private scratch folder is
+    created and registered; on a cluster an unset folder is an error.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not cur:
+        master = spark.sparkContext.master if hasattr(spark, "sparkContext") else ""
+        if not str(master).startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         cur = tempfile.mkdtemp(prefix="hirelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cur)
+        try:
+            spark.conf.set("spark.checkpoint.dir", cur)
+        except Exception:  # pragma: no cover - static conf in some deployments
+            pass
     try:
         spark.sparkContext.setCheckpointDir(cur)
     except Exception:  # pragma: no cover - connect sessions have no context
