@@ -245,13 +245,13 @@ def applicant_histogram(jobs: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def flag_ratios(analysis: DataFrame) -> DataFrame:
-    """Long-unfilled and recent counts and their share of all postings."""
+    """Long-unfilled and recent counts and their share of all postings (NULL when there are none)."""
     return analysis.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("long_unfilled").alias("long_unfilled_count"),
         F.count_if("recent").alias("recent_count"),
-        (F.count_if("long_unfilled") / F.count(F.lit(1))).alias("long_unfilled_ratio"),
-        (F.count_if("recent") / F.count(F.lit(1))).alias("recent_ratio"))
+        F.try_divide(F.count_if("long_unfilled"), F.count(F.lit(1))).alias("long_unfilled_ratio"),
+        F.try_divide(F.count_if("recent"), F.count(F.lit(1))).alias("recent_ratio"))
 
 
 def long_unfilled_topk(analysis: DataFrame, k: int | None = 10) -> DataFrame:

@@ -73,7 +73,7 @@ def q_incremental_published(spark, sf):
     """S14 on the published table: partitioned by crawl_date, so the slice prunes partitions."""
     from hirelens.fixtures import AS_OF
     from hirelens.operators.filters import incremental_slice
-    path, _ = IO.publish(X.jobs_df(spark, sf).select("jobNo", "crawl_date", "status"),
-                         scratch_path(spark, "news-jobs-by-day"), version="1", partition_by=["crawl_date"])
-    return incremental_slice(IO.read_parquet(spark, path), as_of=AS_OF, days_ago=3) \
+    src = X.jobs_df(spark, sf).select("jobNo", "crawl_date", "status")
+    path, _ = IO.publish(src, scratch_path(spark, "news-jobs-by-day"), version="1", partition_by=["crawl_date"])
+    return incremental_slice(IO.read_parquet(spark, path, schema=src.schema), as_of=AS_OF, days_ago=3) \
         .select("jobNo", "crawl_date", "status")

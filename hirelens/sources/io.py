@@ -26,9 +26,14 @@ def _filtered(df: DataFrame, filters: dict | None, limit: int | None) -> DataFra
     return out.limit(int(limit)) if limit else out
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet read (filters / projections push down into the scan)."""
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Parquet read (filters / projections push down into the scan).
+
+    Give ``schema`` when the folder may hold no data file (an empty
+    partitioned write) — there is nothing to infer it from.
+    """
+    r = spark.read
+    return (r.schema(schema) if schema is not None else r).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
