@@ -33,6 +33,7 @@ LINK_CUST_PATTERN = r"'cust':\s*(//[^,}]+)"
 
 # Applicant / salary label tokens.
 APPLY_PEOPLE_TOKEN = "人"
+OPEN_BAND_PREFIX = "大於"
 RANGE_TOKEN = "~"
 SALARY_MONTHLY_TOKEN = "月薪"
 SALARY_HOURLY_TOKEN = "時薪"

@@ -32,15 +32,18 @@ def _range_struct(lo: Column, hi: Column, with_avg: bool) -> Column:
 # --------------------------------------------------------------------------
 # F1 applicant band -> (min, max, avg)
 # --------------------------------------------------------------------------
-def applicant_range(desc, with_avg: bool = True) -> Column:
+def applicant_range(desc, with_avg: bool = True, open_ended: bool = False) -> Column:
     """``'11~30人應徵'`` -> struct(min=11, max=30, avg=20.5).
 
     Text before the first ``人``; ``a~b`` gives both ends, a single number
     gives it twice; null, empty, no ``人`` or anything unparsable gives 0/0.
-    The open band ``大於30人應徵`` therefore parses to 0 (parity).
+    The open band ``大於30人應徵`` therefore parses to 0 (parity);
+    ``open_ended=True`` reads it as its bound (30).
     """
     d = _col(desc)
     head = F.trim(F.split(d, C.APPLY_PEOPLE_TOKEN).getItem(0))
+    if open_ended:
+        head = F.regexp_replace(head, "^" + C.OPEN_BAND_PREFIX + r"\s*", "")
     parts = F.split(head, C.RANGE_TOKEN)
     ranged = head.contains(C.RANGE_TOKEN)
     a = _to_long(parts.getItem(0))

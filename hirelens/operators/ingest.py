@@ -133,6 +133,20 @@ def prepare_batch(responses: DataFrame, as_of, metrics: dict | None = None) -> D
     return merged
 
 
+def crawl_log_from_responses(responses: DataFrame, seq: int = 0) -> DataFrame:
+    """S10 input rows: one crawl-log record per fetched page.
+
+    ``status`` is ``ok`` only when the response carries data (decision for
+    quirk Q18: a response holding an error is retried the same day).
+    """
+    ok = response_class() == "valid"
+    return responses.select(
+        "today", "keyword", "first_url", "crawl_url",
+        F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        F.when(ok, F.col("result.data.totalCount")).alias("total_count"),
+        F.lit(seq).alias("seq"))
+
+
 def fetch_stats(responses: DataFrame) -> DataFrame:
     """Pages fetched OK / failed and postings fetched, per keyword."""
     valid = response_class() == "valid"

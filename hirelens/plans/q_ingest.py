@@ -119,9 +119,11 @@ SELECT keyword, {URL_SQL.format(kw='keyword', page='page_block + 1', area='CAST(
 FROM pages"""))
 def q_crawl_log_upsert(spark, sf):
     r = X.responses_df(spark, sf)
-    old = r.select("today", "keyword", "first_url", "crawl_url", "status", "page_key", F.lit(0).alias("seq"))
+    old = I.crawl_log_from_responses(r, seq=0)
+    # a second fetch of the even pages, all successful
     new = r.where(F.col("page_key") % 2 == 0).select(
-        "today", "keyword", "first_url", "crawl_url", F.lit("ok").alias("status"), "page_key", F.lit(1).alias("seq"))
+        "today", "keyword", "first_url", "crawl_url", F.lit("ok").alias("status"),
+        F.lit(None).cast("int").alias("total_count"), F.lit(1).alias("seq"))
     return L.crawl_log_upsert(old, new).select("keyword", "crawl_url", "status", "seq")
 
 

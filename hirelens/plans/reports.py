@@ -17,32 +17,35 @@ from hirelens.operators import trends as T
 
 
 def dashboard(jobs: DataFrame, *, as_of, months=None, keywords=None, city=None, district=None,
-              date_range: str = "all", top_k: int = 10) -> dict[str, DataFrame]:
+              date_range: str = "all", top_k: int = 10, parity: bool = False) -> dict[str, DataFrame]:
     """KPIs, trend chart, industry top 10, applicants, shelf-time flags, delisted analysis.
 
-    Trend and delisted outputs use the same filters and include inactive
-    postings (decision for quirk Q9).
+    Default (decision for quirk Q9): trend and delisted outputs use the same
+    filters and include inactive postings.  ``parity=True`` reproduces the
+    original: the trend sees active postings only, and delisted counts come
+    from the unfiltered table.
     """
     base = FL.load_jobs(jobs, as_of=as_of, months=months, keywords=keywords, city=city, district=district,
                         include_inactive=True)
     active = FL.scan_jobs(base)
-    stats = T.trend_stats(base)
+    stats = T.trend_stats(active if parity else base)
+    delisted_src = jobs if parity else base
     analysis = FL.analysis_projection(active, as_of)
     return {
         "latest_day_kpis": T.latest_day_kpis(active, stats),
         "series_summary": T.series_summary(stats),
-        "trend_chart": T.chart_data(T.filter_date_range(stats, date_range), T.delisted_by_date(base)),
+        "trend_chart": T.chart_data(T.filter_date_range(stats, date_range), T.delisted_by_date(delisted_src)),
         "industry_top10": D.top_n(D.industry_share(active), 10),
         "applicant_kpis": D.applicant_kpis(active),
         "applicant_histogram": D.applicant_histogram(active),
         "flag_ratios": D.flag_ratios(analysis),
         "long_unfilled": D.long_unfilled_topk(analysis, top_k),
         "recent": D.recent_postings(analysis, top_k),
-        "delisted_kpis": T.delisted_kpis(base, as_of),
-        "delisted_buckets": T.delisted_duration_buckets(base),
-        "delisted_daily": T.delisted_daily_ma7(base),
-        "delisted_monthly": T.delisted_monthly(base),
-        "delisted_latest": T.delisted_sorted(base, "latest", top_k),
+        "delisted_kpis": T.delisted_kpis(delisted_src, as_of),
+        "delisted_buckets": T.delisted_duration_buckets(delisted_src),
+        "delisted_daily": T.delisted_daily_ma7(delisted_src),
+        "delisted_monthly": T.delisted_monthly(delisted_src),
+        "delisted_latest": T.delisted_sorted(delisted_src, "latest", top_k),
     }
 
 

@@ -67,3 +67,11 @@ def test_search_url(spark):
 
 def test_parse_keyword_list(spark):
     assert one(spark, P.parse_keyword_list, " python, django,, ") == ["python", "django"]
+
+
+def test_applicant_open_ended_option(spark):
+    df = spark.createDataFrame([("大於30人應徵",)], "x string")
+    parity = df.select(P.applicant_range("x").alias("r")).first()["r"]
+    opened = df.select(P.applicant_range("x", open_ended=True).alias("r")).first()["r"]
+    assert (parity["min"], parity["max"]) == (0, 0)
+    assert (opened["min"], opened["max"], opened["avg"]) == (30, 30, 30.0)

@@ -28,3 +28,23 @@ def test_two_crawl_days(spark, sf):
     assert s2.where("status = 'active'").join(seen2, "jobNo", "left_anti").count() == 0
     path, rows = publish_news_jobs(spark, p2, scratch_path(spark, "news"), as_of=dt.date(2001, 8, 3))
     assert rows == s2.count()
+
+
+def test_publish_modes(spark, sf):
+    jobs = X.jobs_df(spark, sf).drop("search_keyword")
+    snap = scratch_path(spark, "snap")
+    jobs.write.parquet(snap)
+    base = scratch_path(spark, "published")
+    full, n_full = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, version="1")
+    part, n_part = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, days_ago=2, mode="replace", version="2")
+    up, n_up = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, days_ago=2, previous=full, version="3")
+    assert n_full == jobs.count() and 0 < n_part < n_full and n_up == n_full
+
+
+def test_dashboard_parity_flag(spark, sf):
+    from hirelens.plans.reports import dashboard
+    jobs = X.jobs_df(spark, sf)
+    default = dashboard(jobs, as_of=X.AS_OF)["series_summary"].first()
+    parity = dashboard(jobs, as_of=X.AS_OF, parity=True)["series_summary"].first()
+    assert default["sum_removed"] > 0
+    assert parity["sum_new"] < default["sum_new"]
