@@ -202,8 +202,7 @@ def jobs_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFra
         F.date_sub(ao, (k % 10).cast("int")).alias("last_update_date"),
         F.col("o_orderdate").alias("discovery_date"),
     )
-    base = (base.withColumn("city", P.split_city("jobAddrNoDesc"))
-                .withColumn("district", P.split_district("jobAddrNoDesc")))
+    base = P.with_city_district(base)
     kws = keyword_lists_df(hit_keywords_df(spark, sf_dir))
     return (base.join(kws, "jobNo", "left")
             .withColumn("search_keyword", F.coalesce("search_keyword", F.array().cast("array<string>"))))

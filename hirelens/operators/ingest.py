@@ -108,7 +108,7 @@ def parse_fields(postings: DataFrame) -> DataFrame:
         urls = P.link_urls_from_struct("link") if dtype.startswith("struct") else P.link_urls_from_string("link")
         out = out.withColumns({"applyAnalyze": urls.applyAnalyze, "job": urls.job, "cust": urls.cust})
     if "jobAddrNoDesc" in postings.columns:
-        out = out.withColumns({"city": P.split_city("jobAddrNoDesc"), "district": P.split_district("jobAddrNoDesc")})
+        out = P.with_city_district(out)
     return out
 
 

@@ -98,8 +98,8 @@ def q_incremental_slice(spark, sf):
 @register("city_district_split", with_jobs(f"""
 SELECT jobNo, jobAddrNoDesc, {X.sql_city('jobAddrNoDesc')} AS city, {X.sql_district('jobAddrNoDesc')} AS district FROM jobs"""))
 def q_city_district_split(spark, sf):
-    return X.jobs_df(spark, sf).select("jobNo", "jobAddrNoDesc", P.split_city("jobAddrNoDesc").alias("city"),
-                                       P.split_district("jobAddrNoDesc").alias("district"))
+    jobs = X.jobs_df(spark, sf).select("jobNo", "jobAddrNoDesc")
+    return P.with_city_district(jobs)
 
 
 _LINK_STR = ("'{' || concat_ws(', ', '''applyAnalyze'': ' || substr(applyAnalyze, 7), '''job'': ' || substr(job, 7), "

@@ -75,3 +75,11 @@ def test_applicant_open_ended_option(spark):
     opened = df.select(P.applicant_range("x", open_ended=True).alias("r")).first()["r"]
     assert (parity["min"], parity["max"]) == (0, 0)
     assert (opened["min"], opened["max"], opened["avg"]) == (30, 30, 30.0)
+
+
+def test_with_city_district_matches_column_functions(spark):
+    addrs = ["台北市大安區", "新竹縣竹北市", "新竹市", "日本", "台北市大安區信義路", "", None, "高雄市鳳山區"]
+    df = spark.createDataFrame([(a,) for a in addrs], "a string")
+    staged = P.with_city_district(df, "a").collect()
+    direct = df.select("a", P.split_city("a").alias("city"), P.split_district("a").alias("district")).collect()
+    assert [tuple(r) for r in staged] == [tuple(r) for r in direct]
