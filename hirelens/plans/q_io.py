@@ -77,3 +77,8 @@ def q_incremental_published(spark, sf):
     path, _ = IO.publish(src, scratch_path(spark, "news-jobs-by-day"), version="1", partition_by=["crawl_date"])
     return incremental_slice(IO.read_parquet(spark, path, schema=src.schema), as_of=AS_OF, days_ago=3) \
         .select("jobNo", "crawl_date", "status")
+
+
+@register("file_store_first", with_jobs("SELECT jobNo, jobName FROM jobs ORDER BY jobNo LIMIT 100"))
+def q_file_store_first(spark, sf):
+    return IO.file_store_get(X.jobs_df(spark, sf), limit=100).select("jobNo", "jobName")

@@ -221,3 +221,21 @@ def _delisted_mode_query(mode: str):
 for _mode, _order in (("latest", "delisted_dt DESC NULLS LAST"), ("earliest", "delisted_dt ASC NULLS LAST"),
                       ("shortest", "shelf_days_before_delisting ASC NULLS LAST")):
     register(f"delisted_sorted_{_mode}", _delisted_mode_sql(_order))(_delisted_mode_query(_mode))
+
+
+def _trend_range_sql(days: int) -> str:
+    return _cte(STATS, f""",
+flt AS (SELECT * FROM stats WHERE date >= (SELECT max(date) FROM stats) - {days})
+SELECT date, total_jobs, new_jobs, removed_jobs, new_jobs - removed_jobs AS net_change,
+       CAST(sum(new_jobs - removed_jobs) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_change
+FROM flt""")
+
+
+def _trend_range_query(rng: str):
+    def q(spark, sf):
+        return T.trend_last_days(X.jobs_df(spark, sf), rng)
+    return q
+
+
+for _days in (7, 90):
+    register(f"trend_last_{_days}_days", _trend_range_sql(_days))(_trend_range_query(f"last_{_days}_days"))
