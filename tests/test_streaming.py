@@ -1,6 +1,9 @@
 """Structured Streaming ingest: landing JSON files -> versioned posting snapshots."""
 
 import datetime as dt
+import glob
+import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -22,3 +25,27 @@ def test_stream_builds_snapshot(spark, sf):
     assert n == snap.select("jobNo").distinct().count() > 0
     assert snap.where(F.col("discovery_date") != F.lit(dt.date(2001, 8, 2))).count() == 0
     assert snap.where(F.col("status") != "active").count() == 0
+
+
+def _local(path: str) -> str:
+    return path.replace("file:", "")
+
+
+def test_stream_two_days_delists(spark, sf):
+    """Batch 0 = day 1, batch 1 = day 2 (one file per trigger); day 2 lists half the pages."""
+    staging, flat = scratch_path(spark, "staging"), _local(scratch_path(spark, "landing2"))
+    snaps, ckpt = scratch_path(spark, "snaps2"), scratch_path(spark, "stream-ckpt2")
+    r = X.responses_df(spark, sf)
+    r.coalesce(1).write.json(f"{staging}/day1")
+    r.where(F.col("page_key") % 2 == 0).withColumn("today", F.lit("2001-08-03")).coalesce(1).write.json(f"{staging}/day2")
+    os.makedirs(flat)
+    for i, day in enumerate(("day1", "day2")):
+        dst = f"{flat}/{i}.json"
+        shutil.copy(glob.glob(f"{_local(staging)}/{day}/part-*.json")[0], dst)
+        os.utime(dst, (1_000_000_000 + i * 10, 1_000_000_000 + i * 10))  # arrival order
+    q = start_ingest_stream(spark, flat, snaps, ckpt, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    s1 = spark.read.parquet(f"{snaps}/version=1")
+    assert s1.count() == latest_snapshot(spark, snaps, before=1).count()
+    gone = s1.where("status = 'inactive'")
+    assert gone.count() > 0 and gone.where(F.col("delisted_date") != "2001-08-03").count() == 0
