@@ -71,7 +71,7 @@ def q_code_lookup(spark, sf):
 
 
 @register("builtin_codes", """
-SELECT * FROM (VALUES ('area', 8), ('job_cat', 7), ('industry', 5)) t(kind, n)""")
+SELECT kind, CAST(n AS BIGINT) AS n FROM (VALUES ('area', 8), ('job_cat', 7), ('industry', 5)) t(kind, n)""")
 def q_builtin_codes(spark, sf):
     parts = [K.builtin_codes(spark, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
              for k in ("area", "job_cat", "industry")]
