@@ -1,7 +1,7 @@
 """Derive job-market inputs from the driver tables (orders, customer, lineitem, nation).
 
 The rules are plain key arithmetic, stated once here and twice in code: as
-Spark DataFrames (``hits_df``, ``postings_base_df``, ``jobs_df``, ...) and as
+Spark DataFrames (``hits_df``, ``jobs_df``, ``responses_df``) and as
 DuckDB SQL (``HITS_SQL``, ``JOBS_SQL``, ...) so every operator can be checked
 against an independent SQL engine on the same parquet files.
 
@@ -19,6 +19,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelens import constants as C
 from hirelens.functions import parsing as P
 
 AS_OF = dt.date(2001, 8, 2)
@@ -193,8 +194,8 @@ def jobs_df(spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF) -> DataFra
     ao = F.lit(as_of)
     base = oc.select(
         *[c.alias(n) for n, c in cols.items()],
-        (F.lit(6001001000) + F.col("c_nationkey") % 10).cast("string").alias("area_code"),
-        _pick(ADDRESSES, F.col("c_nationkey") % 10).alias("area_name"),
+        cols["jobAddrNo"].alias("area_code"),  # P21: area fields copy the address fields
+        cols["jobAddrNoDesc"].alias("area_name"),
         urls.applyAnalyze.alias("applyAnalyze"),
         urls.job.alias("job"),
         urls.cust.alias("cust"),
@@ -248,8 +249,8 @@ def _sql_pick(values, idx: str) -> str:
     return "CASE " + " ".join(f"WHEN {idx} = {i} THEN {_sql_lit(v)}" for i, v in enumerate(values)) + " END"
 
 
-_P1 = "^(.*?[市縣])(.*?[區鄉鎮市])$"
-_P2 = "^(.*?[市縣])$"
+_P1 = C.ADDR_CITY_DISTRICT
+_P2 = C.ADDR_CITY_ONLY
 
 
 def sql_city(a: str) -> str:
