@@ -50,15 +50,6 @@ def q_trend_stats(spark, sf):
     return T.trend_stats(X.jobs_df(spark, sf))
 
 
-@register("trend_last_30_days", _cte(STATS, """,
-flt AS (SELECT * FROM stats WHERE date >= (SELECT max(date) FROM stats) - 30)
-SELECT date, total_jobs, new_jobs, removed_jobs, new_jobs - removed_jobs AS net_change,
-       CAST(sum(new_jobs - removed_jobs) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_change
-FROM flt"""))
-def q_trend_last_30_days(spark, sf):
-    return T.trend_last_days(X.jobs_df(spark, sf), "last_30_days")
-
-
 @register("series_summary", _cte(STATS, """
 SELECT CAST(sum(new_jobs) AS BIGINT) AS sum_new, CAST(sum(removed_jobs) AS BIGINT) AS sum_removed,
        CAST(sum(new_jobs) - sum(removed_jobs) AS BIGINT) AS net, min(date) AS first_date, max(date) AS last_date
@@ -237,5 +228,5 @@ def _trend_range_query(rng: str):
     return q
 
 
-for _days in (7, 90):
+for _days in (7, 30, 90):
     register(f"trend_last_{_days}_days", _trend_range_sql(_days))(_trend_range_query(f"last_{_days}_days"))
