@@ -1,5 +1,9 @@
 """Benchmark: run the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
+Production shape: the daily job derives and publishes the posting tables
+once (timed as ``publish_fixtures`` and included in the total), then every
+report query reads the published tables.  ``BENCH_DERIVE=1`` instead
+re-derives the tables from the driver tables inside every query.
 Each query is forced end to end with the ``noop`` sink (full computation,
 no driver collect).  Prints ONE JSON line.
 """
@@ -13,8 +17,10 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from hirelens import fixtures  # noqa: E402
 from hirelens import get_session  # noqa: E402
 from hirelens.plans.catalog import queries  # noqa: E402
+from hirelens.session import scratch_path  # noqa: E402
 
 HEADLINE = [
     "daily_job_changes", "trend_stats", "day_over_day_diff", "calendar_month", "delisted_kpis",
@@ -36,6 +42,10 @@ def main() -> None:
     # warm-up: JVM, parquet footers
     qs["series_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
+    if os.environ.get("BENCH_DERIVE") != "1":
+        t = time.time()
+        fixtures.publish_fixtures(spark, sf_dir, scratch_path(spark, "bench-fixtures"))
+        times["publish_fixtures"] = round(time.time() - t, 3)
     for n in names:
         t = time.time()
         qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
