@@ -145,3 +145,19 @@ def test_prepare_batch_metrics(spark, sf):
     n = batch.count()
     assert metrics["postings"].get["rows"] == n
     assert metrics["hits"].get["rows"] >= n
+
+
+def test_keyword_filter_regex_option(spark):
+    df = spark.createDataFrame([("1", ["python3"]), ("2", ["pypy"]), ("3", ["java"])],
+                               "jobNo string, search_keyword array<string>")
+    assert sorted(r["jobNo"] for r in FL.keyword_filter(df, ["^py"], regex=True).collect()) == ["1", "2"]
+    assert FL.keyword_filter(df, ["^py"]).count() == 0  # literal by default
+
+
+def test_keyword_suggest_edges(spark):
+    from hirelens.operators import dimensions as DM
+    choices = spark.createDataFrame([("Python",), ("pandas",), ("PyTorch",), ("Go",)], "keyword string")
+    assert [r["keyword"] for r in DM.keyword_suggest(choices, "go, py").collect()] == ["PyTorch", "Python"]
+    assert DM.keyword_suggest(choices, "python,").count() == 0  # nothing typed after the comma
+    assert DM.keyword_suggest(choices, "").count() == 0
+    assert DM.keyword_suggest(choices, "p", n=2).count() == 2
