@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hirelens import constants as C
 from hirelens.functions import parsing as P
+from hirelens.functions.literals import literal_frame
 
 
 def _cnt(name: str = "job_count"):
@@ -182,7 +183,8 @@ def district_salary_top(jobs: DataFrame, n: int = 10, pool: int = 15) -> DataFra
 
 def city_map(jobs: DataFrame) -> DataFrame:
     """J9 + P20: city counts with map coordinates; cities without coordinates dropped."""
-    coords = jobs.sparkSession.createDataFrame(C.CITY_COORDINATES, "city string, lon double, lat double")
+    coords = literal_frame(jobs.sparkSession, C.CITY_COORDINATES,
+                           [("city", "string"), ("lon", "double"), ("lat", "double")])
     return city_counts(jobs).join(F.broadcast(coords), "city", "inner")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hirelens import constants as C
 from hirelens.functions import parsing as P
+from hirelens.functions.literals import literal_frame
 
 
 def _lit_date(d) -> F.Column:
@@ -272,9 +273,9 @@ def delisted_duration_buckets(jobs: DataFrame) -> DataFrame:
               .when(s >= e[3], F.lit(3)))
     counts = delisted(jobs).select(bucket.alias("bucket_order")).where(F.col("bucket_order").isNotNull()) \
         .groupBy("bucket_order").agg(F.count(F.lit(1)).alias("job_count"))
-    spark = jobs.sparkSession
-    dim = spark.createDataFrame([(i, lab) for i, lab in enumerate(L)], "bucket_order int, bucket string")
-    return (F.broadcast(dim).join(counts, "bucket_order", "left")
+    dim = literal_frame(jobs.sparkSession, list(enumerate(L)), [("bucket_order", "int"), ("bucket", "string")])
+    # counts has at most one row per bucket (4): the broadcast side is proven small
+    return (dim.join(F.broadcast(counts), "bucket_order", "left")
             .select("bucket_order", "bucket", F.coalesce("job_count", F.lit(0).cast("bigint")).alias("job_count")))
 
 

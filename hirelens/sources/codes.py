@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelens import constants as C
+from hirelens.functions.literals import literal_frame
 
 DEFAULT_DEPTH = 4
 BUILTIN = {"area": C.BUILTIN_AREA_CODES, "job_cat": C.BUILTIN_JOB_CAT_CODES, "industry": C.BUILTIN_INDUSTRY_CODES}
@@ -104,8 +105,8 @@ def code_search(flat: DataFrame, keyword: str) -> DataFrame:
 
 def builtin_codes(spark: SparkSession, kind: str = "area") -> DataFrame:
     """H4: built-in code dictionary as a DataFrame (code, name, ordinal)."""
-    return spark.createDataFrame([(c, n, i) for i, (c, n) in enumerate(BUILTIN[kind])],
-                                 "code string, name string, ordinal int")
+    return literal_frame(spark, [(c, n, i) for i, (c, n) in enumerate(BUILTIN[kind])],
+                         [("code", "string"), ("name", "string"), ("ordinal", "int")])
 
 
 def load_code_table(spark: SparkSession, path: str | None, kind: str = "area",

@@ -22,7 +22,7 @@ PATTERNS = {
     "obj_agg": r"ObjectHashAggregate",
     "windows": r"\bWindow \[",
     "scans": r"FileScan parquet",
-    "python": r"BatchEvalPython|ArrowEvalPython",
+    "python": r"BatchEvalPython|ArrowEvalPython|ExistingRDD",
     "cartesian": r"CartesianProduct|BroadcastNestedLoopJoin",
 }
 

@@ -5,7 +5,7 @@ import pytest
 from hirelens.plans.catalog import queries
 
 QUERIES = queries()
-BAD_NODES = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
+BAD_NODES = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "ExistingRDD")
 
 
 def _plan(df):
