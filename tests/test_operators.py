@@ -161,3 +161,16 @@ def test_keyword_suggest_edges(spark):
     assert DM.keyword_suggest(choices, "python,").count() == 0  # nothing typed after the comma
     assert DM.keyword_suggest(choices, "").count() == 0
     assert DM.keyword_suggest(choices, "p", n=2).count() == 2
+
+
+def test_required_columns_check(spark):
+    df = spark.createDataFrame([("1", "a")], "jobNo string, city string")
+    assert FL.missing_columns(df, ["jobNo", "salaryDesc", "city", "applyDesc"]) == ["salaryDesc", "applyDesc"]
+
+
+def test_string_keyword_column_coerced(spark):
+    from hirelens.functions import parsing as P
+    df = spark.createDataFrame([("1", "Python"), ("2", None), ("3", "")], "jobNo string, search_keyword string")
+    got = {r["jobNo"]: r["k"] for r in df.select("jobNo", P.as_keyword_array("search_keyword", "string").alias("k")).collect()}
+    assert got == {"1": ["Python"], "2": [], "3": []}
+    assert [r["jobNo"] for r in FL.keyword_filter(df, ["python"]).collect()] == ["1"]
