@@ -4,8 +4,9 @@ Every operator aggregates with ``groupBy`` (partial + final hash aggregate,
 so a hot city or industry costs one counter per task before the shuffle).
 Group keys are filtered ``IS NOT NULL`` where the original drops null keys.
 Top-N restrictions are a ``limit`` over an already aggregated frame (tiny,
-bounded by N) joined back with a semi join.  Global totals are scalar
-subqueries.  Long form is the primary output of crosstabs; ``wide`` gives
+bounded by N) joined back with a semi join.  Global totals and first / last
+months are window aggregates over the few aggregated rows (one scan of the
+postings); histogram bounds are one scalar subquery.  Long form is the primary output of crosstabs; ``wide`` gives
 the pivot over an explicit label list.
 """
 
