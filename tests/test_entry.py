@@ -24,9 +24,10 @@ def test_entry_flagship(spark):
 def test_queries_and_sql_align(spark, sf):
     mod = _entry_module()
     qs, sql = mod.queries(), mod.oracle_sql()
-    assert qs and set(qs) == set(sql)
+    own = mod.catalog.queries()
+    assert own and set(own) <= set(qs) and set(own) == set(sql) & set(own) and set(sql) <= set(qs)
     con = oracle.duck(sf)
-    for name, fn in qs.items():
+    for name, fn in own.items():
         cols = fn(spark, sf).columns
         assert len(cols) == len(set(cols)), name
         assert sorted(con.sql(sql[name]).columns) == sorted(cols), name
