@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelens.llm import mixing, packing, rans, warc
+from hirelens.llm import (
+    gru_lm,
+    jaccard_join,
+    mixing,
+    nn_descent,
+    packing,
+    quality_rules,
+    rans,
+    suffix_index,
+    url_templates,
+    warc,
+)
 from hirelens.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_templates": lambda s, d: url_templates.op1_query(table(s, d, "pages"), table(s, d, "labels")),
+        "op2_quality_llr": lambda s, d: quality_rules.op2_query(table(s, d, "documents"), table(s, d, "labels")),
+        "op3_jaccard_join": lambda s, d: jaccard_join.op3_query(table(s, d, "documents")),
+        "op4_nn_descent": lambda s, d: nn_descent.op4_query(table(s, d, "embeddings")),
+        "op5_gru_lm": lambda s, d: gru_lm.op5_query(table(s, d, "documents")),
         "op6_warc": lambda s, d: warc.op6_query(table(s, d, "pages")),
         "op7_rans_ids": lambda s, d: rans.op7_query(table(s, d, "documents")),
         "op8_best_fit_packing": lambda s, d: packing.op8_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
+        "op10_suffix_index": lambda s, d: suffix_index.op10_query(table(s, d, "documents")),
     }
 
 
