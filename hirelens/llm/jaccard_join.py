@@ -21,12 +21,14 @@ words the set is empty.  Two texts link when 100 * |intersection| >= percent *
    are verified once.  Links inside a component need no check.  So every link
    between different components is found and the components are exact.
 
-Verification reads the candidates' sets: a suffix filter (upper bound of the
-overlap by halving both ordered suffixes at a probe) comes before the count.
+Before verification, a suffix filter: each document has a sketch, the numbers of
+its shingles in equal parts of the hash range (about four in a part); the sum of
+the parts' smaller numbers bounds the overlap from above.  Only pairs that may
+still link have their sets made from the texts and compared.
 
 Nulls: a null text is empty; rows with a null doc_id get component null and
-link with nothing.  Repeated rows with one doc_id count as one document, that
-of the first by set digest.  Empty tables give no rows.  Extra columns are
+link with nothing.  Repeated rows with one doc_id count as one document, with
+the text whose hash is least.  Empty tables give no rows.  Extra columns are
 ignored, or kept by ``drop_duplicates``.
 """
 
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,18 +61,29 @@ class _WordHashes(dict):
         return value
 
 
-def shingles(text: str | None, words: int, known: _WordHashes) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of a text's shingles."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    n = min(words, len(tokens))
-    own = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    out = np.full(len(own) - n + 1, n, np.uint64)
+def _hashed(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n word hashes."""
+    out = np.full(len(ids) - n + 1, n, np.uint64)
     for k in range(n):
-        out = (out ^ own[k:len(own) - n + 1 + k]) * _BASE
+        out = (out ^ ids[k:len(ids) - n + 1 + k]) * _BASE
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def occurrences(texts: list[str | None], words: int, known: _WordHashes) -> list[np.ndarray]:
+    """The hashes (uint64) of each text's shingles, as they come."""
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    ids = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.uint64, int(sizes.sum()))
+    flat = _hashed(ids, words) if len(ids) >= words else np.empty(0, np.uint64)
+    starts = (np.cumsum(sizes) - sizes).tolist()
+    return [flat[a:a + n - words + 1] if n >= words else _hashed(ids[a:a + n], n) if n else flat[:0]
+            for a, n in zip(starts, sizes.tolist(), strict=True)]
+
+
+def shingles(texts: list[str | None], words: int, known: _WordHashes) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    return [np.unique(h) for h in occurrences(texts, words, known)]
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -77,18 +91,19 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def slot_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles per slot over all documents; 2**SLOT_BITS numbers."""
+    """Shingle occurrences per slot over all documents; 2**SLOT_BITS numbers."""
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = _WordHashes(), np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
-                held = [shingles(t, words, known) for t in part["text"].to_pylist()]
+                held = occurrences(part["text"].to_pylist(), words, known)
                 counts += np.bincount(slots(np.concatenate(held)), minlength=len(counts))
         used = np.flatnonzero(counts)
         yield to_batch(schema, [pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())])
@@ -107,19 +122,19 @@ def _ceil(n: int, a: int, b: int) -> int:
 def postings(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
     """Two kinds of rows: a document's (digest not null) and its prefix shingles' (shingle, pos)."""
     rank = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("shingle", pa.int64()),
-                        ("pos", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("sketch", pa.binary()),
+                        ("th", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = _WordHashes(), rank.value
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
-                ids, sizes, digests, out_ids, out_n, out_s, out_p = [], [], [], [], [], [], []
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    own = shingles(text, words, known)
+                sizes, digests, sketches, out_ids, out_n, out_s, out_p = [], [], [], [], [], [], []
+                ids = part["doc_id"].to_pylist()
+                for doc, own in zip(ids, shingles(part["text"].to_pylist(), words, known), strict=True):
                     n = len(own)
-                    ids.append(doc)
                     sizes.append(n)
+                    sketches.append(sketch(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     if n and doc is not None:
                         own = own[np.argsort(table[slots(own)], kind="stable")]
@@ -129,13 +144,15 @@ def postings(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
                         out_ids.append(np.full(length, doc, np.int64))
                         out_n.append(np.full(length, n, np.int32))
                 k = len(ids)
-                yield to_batch(schema, [ids, sizes, digests, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())])
+                yield to_batch(schema, [ids, sizes, digests, sketches, part["th"], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())])
                 if out_s:
                     s = np.concatenate(out_s)
                     yield to_batch(schema, [pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_n)),
-                                            pa.nulls(len(s), pa.binary()), pa.array(s), pa.array(np.concatenate(out_p))])
+                                            pa.nulls(len(s), pa.binary()), pa.nulls(len(s), pa.binary()),
+                                            pa.nulls(len(s), pa.int64()), pa.array(s),
+                                            pa.array(np.concatenate(out_p))])
 
-    return _own(docs).mapInArrow(run, "doc_id long, n int, digest binary, shingle long, pos int")
+    return _own(docs).mapInArrow(run, "doc_id long, n int, digest binary, sketch binary, th long, shingle long, pos int")
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -143,14 +160,38 @@ def overlap_needed(n: int, m: int, percent: int) -> int:
     return _ceil(n + m, percent, 100 + percent)
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
-    """Upper bound of the overlap of two sorted sets: split both at the middle of y, a few times."""
-    if not depth or len(y) < 8:
-        return min(len(x), len(y))
-    mid = len(y) // 2
-    at = int(np.searchsorted(x, y[mid]))
-    hit = int(at < len(x) and x[at] == y[mid])
-    return suffix_bound(x[:at], y[:mid], depth - 1) + hit + suffix_bound(x[at + hit:], y[mid + 1:], depth - 1)
+def sketch(own: np.ndarray) -> bytes:
+    """Shingles in each of 2**k equal parts of the hash range, a byte each; empty if a byte can't hold one."""
+    bits = min(16, max(4, (len(own) // 4).bit_length()))
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def overlap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
+    """Upper bound of the intersection of sets of n and m, from their sketches."""
+    if not a or not b:
+        return min(n, m)
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
+
+
+def screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their sketches."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(*(batch[c].to_pylist() for c in ("ka", "kb", "na", "nb")), strict=True)
+            keep = [overlap_bound(x, y, n, m) >= overlap_needed(n, m, percent) for x, y, n, m in sides]
+            part = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield to_batch(schema, [part["a"], part["b"]])
+
+    sides = [heads.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"k{c}"), F.col("n").alias(f"n{c}"))
+             for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") \
+        .select("a", "b", "ka", "kb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def _needed(n: str, m: str, percent: int) -> str:
@@ -163,8 +204,10 @@ def _possible(a: str, b: str, percent: int) -> str:
             f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {_needed(f'{a}.n', f'{b}.n', percent)}")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; ``sets``: doc_id, shingles (packed, sorted)."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The stored pairs (a, b) whose sets link.  Each set is made from its text once."""
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+    sets = cut(_sets(docs, wanted, words), "jaccard-sets")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +216,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep = []
                 for sa, sb in zip(part["sa"].to_pylist(), part["sb"].to_pylist(), strict=True):
                     x, y = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
-                    need = overlap_needed(len(x), len(y), percent)
-                    if suffix_bound(x, y) < need:
-                        keep.append(False)
-                        continue
                     both = np.sort(np.concatenate([x, y]), kind="stable")
-                    keep.append(int((both[1:] == both[:-1]).sum()) >= need)
+                    keep.append(int((both[1:] == both[:-1]).sum()) >= overlap_needed(len(x), len(y), percent))
                 part = part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
                 yield to_batch(schema, [part["a"], part["b"]])
 
@@ -195,21 +234,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         known = _WordHashes()
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
-                yield to_batch(schema, [part["doc_id"], [shingles(t, words, known).astype("<u8").tobytes()
-                                                         for t in part["text"].to_pylist()]])
+                own = shingles(part["text"].to_pylist(), words, known)
+                yield to_batch(schema, [part["doc_id"], [x.astype("<u8").tobytes() for x in own]])
 
-    return _own(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    own = _own(docs).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("th", "text")).alias("m"))
+    return own.select("doc_id", "m.text").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
     found = cut(postings(docs, words, percent, slot_counts(docs, words)), "jaccard-postings")
-    heads = found.where("digest is not null").select("doc_id", "n", "digest")
-    heads = heads.where("doc_id is null").unionByName(
+    heads = found.where("digest is not null").select("doc_id", "n", "digest", "sketch", "th")
+    heads = heads.where("doc_id is null").drop("th").unionByName(
         heads.where("doc_id is not null").groupBy("doc_id").agg(
-            F.min(F.struct("digest", "n")).alias("h")).select("doc_id", "h.n", "h.digest"))
+            F.min(F.struct("th", "digest", "n", "sketch")).alias("h")).select("doc_id", "h.n", "h.digest", "h.sketch"))
     classes = heads.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = cut(heads.join(classes, "digest", "left").select("doc_id", "n", "rep"), "jaccard-classes")
+    heads = cut(heads.join(classes, "digest", "left").select("doc_id", "n", "rep", "sketch"), "jaccard-classes")
+    members = heads.select("doc_id", "n", "rep")
 
     per_shingle = Window.partitionBy("shingle")
     lists = found.where("shingle is not null").select("shingle", "doc_id", "n", "pos").withColumn(
@@ -225,9 +266,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select(F.greatest("doc_id", "lead_rep").alias("a"), F.least("doc_id", "lead_rep").alias("b")) \
         .where("a > b").distinct()
     led = cut(led, "jaccard-led")
-    wanted = lists.select("doc_id").union(led.select("b")).distinct()
-    sets = cut(_sets(docs, wanted, words).dropDuplicates(["doc_id"]), "jaccard-sets")
-    links = cut(verified(led, sets, percent), "jaccard-links")
+    links = cut(verified(cut(screened(led, heads, percent), "jaccard-likely"), docs, words, percent), "jaccard-links")
     roots = components(links)
 
     placed = lists.select("shingle", "doc_id", "n", "pos").join(
@@ -245,7 +284,8 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                             f"{_possible('x', 'y', percent)}")) \
         .select(F.expr("greatest(x.doc_id, y.doc_id)").alias("a"), F.expr("least(x.doc_id, y.doc_id)").alias("b")) \
         .distinct().join(led, ["a", "b"], "left_anti")
-    more = cut(verified(cut(rest, "jaccard-rest"), sets, percent), "jaccard-links")
+    rest = cut(screened(rest, heads, percent), "jaccard-rest")
+    more = cut(verified(rest, docs, words, percent), "jaccard-links")
     final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "root")
     return members.join(final, "rep", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
