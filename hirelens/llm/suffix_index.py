@@ -126,7 +126,7 @@ def suffix_array(texts: DataFrame, length: int, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 500_000):
                 of, pos, lo, hi, fp = anchors(*_joined(_bytes(part)), length, window)
                 keys = part["key"].to_numpy(zero_copy_only=False)
                 yield to_batch(schema, [pa.array(fp.view(np.int64)), pa.array(keys[of], pa.int64()),
@@ -305,8 +305,8 @@ def _placed(docs: DataFrame, length: int, window: int, batches: int, slim: bool)
         if slim else F.lit(None).cast("string")
     rows = cut(rows.select("row", "key", "size", "whole", "open", "anchors", shown.alias("text"),
                            digest.alias("digest")), "suffix-rows")
-    contexts = cut(_contexts(rows.where("anchors is not null").select("key", "text", "anchors"), length)
-                   .dropDuplicates(["key", "pos"]), "suffix-contexts")
+    contexts = cut(_contexts(rows.where("anchors is not null").select("key", "text", "anchors"), length),
+                   "suffix-contexts")  # a repeated row's come twice, which marks its own text alone
     marks = marks_of(contexts, length).groupBy("key").agg(
         F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("key", "k")
     return rows, cut(marks, "suffix-marks")
