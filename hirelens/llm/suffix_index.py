@@ -159,7 +159,7 @@ class IndexFamily:
             new = last.unionByName(new)
             size *= 2
         if size > 1:
-            new = cut(new.repartition("fp").sortWithinPartitions("fp"), "suffix-level")
+            new = cut(new.repartition("fp", "key").sortWithinPartitions("fp"), "suffix-level")
         self.levels.append((size, new))
         return found
 
