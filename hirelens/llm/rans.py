@@ -311,7 +311,8 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
 
     before = Window.orderBy("run", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("path", "start")
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(manifest.count(), 4096))  # without a number, so few rows would go to one task
+    return files.repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_query(docs: DataFrame) -> DataFrame:

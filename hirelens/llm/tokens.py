@@ -3,8 +3,10 @@
 Both supported pre-tokenizers never join characters across a blank that stands
 between two non-blank characters (byte-level BPE attaches the blank to what
 follows), so a text is the concatenation of its blank-separated chunks and the
-ids of a chunk can be kept.  Texts with characters outside the plain Latin
-range, or with blanks in other places, go to the library as a whole.
+ids of a chunk can be kept.  A chunk of letters and marks after them is two
+pre-tokens, which go to the library's model alone, in the byte alphabet of
+byte-level BPE.  Other chunks go through the library's whole pipeline, and so do
+texts with characters outside the plain Latin range or blanks in other places.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ import re
 import numpy as np
 
 #: Controls, superscripts and fractions, and all beyond Latin: regular expression classes may differ there.
-_UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
-_ODD_BLANK = re.compile(r"^\s|\s$| \s")
-_ENDING = re.compile(r"^(.*\w)([^\w\s]+)$", re.S)
+_UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]")
+_ODD_BLANK = re.compile(r" \s")
+_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+#: Byte-level BPE writes printable bytes as themselves and the others, in order, as the characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -51,24 +56,33 @@ class ChunkEncoder:
         drops_blanks = kinds == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed" \
             and pre["pretokenizers"][0]["invert"]
         self.plain = self.leading_blank or drops_blanks
-        self.words = _Kept(self._whole, cap)
+        self.model = self.lib.model
+        self.words = _Kept(self._word, cap)
         self.chunks = _Kept(self._parts, cap // 4)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        mapped = word.encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+
     def _parts(self, chunk: str) -> bytes:
-        """A word and the marks after it are pre-tokens of their own."""
-        m = _ENDING.match(chunk)
-        if m and "'" not in chunk and "_" not in chunk:
-            return self.words[m[1]] + self.words[m[2]]
-        return self.words[chunk]
+        bare = chunk[1:] if chunk[:1] == " " else chunk
+        m = _SIMPLE.fullmatch(bare)
+        if not m:
+            return self._whole(chunk)
+        word = chunk[:len(chunk) - len(m[2])] if self.leading_blank else m[1].lower()
+        return self.words[word] + self.words[m[2]] if m[2] else self.words[word]
 
     def encode(self, text: str | None) -> bytes:
         """All ids of the text as little-endian uint32 bytes; a null text has none."""
         if not text:
             return b""
-        if not self.plain or _UNSAFE.search(text) or self.leading_blank and _ODD_BLANK.search(text):
+        if not self.plain or _UNSAFE.search(text):
+            return self._whole(text)
+        if self.leading_blank and (text[0].isspace() or text[-1].isspace() or _ODD_BLANK.search(text)):
             return self._whole(text)
         cut = text.replace(" ", "\0 ").split("\0") if self.leading_blank else text.split()
         return b"".join(map(self.chunks.__getitem__, cut))
