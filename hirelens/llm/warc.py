@@ -196,7 +196,8 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
                 yield to_batch(schema, [heads, bodies])
 
     ranges = splits(files, split)
-    return ranges.repartition("path", "start").mapInArrow(read, "headers map<string,string>, payload binary")
+    tasks = max(1, min(ranges.count(), 4096))  # without a number, so few rows would go to one task
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, "headers map<string,string>, payload binary")
 
 
 def archive_files(spark: SparkSession, folder: str) -> DataFrame:
