@@ -162,12 +162,11 @@ def mix(docs: DataFrame, plan: Plan, doc_id: str = "doc_id", text: str = "text")
                                            used.alias("take_tokens"))).drop("mix_leaf", "mix_cut", "mix_epoch")
 
 
-#: Production tree of the documents table: few-digit sources are web crawls, the others are curated.
-DOMAINS = F.expr("case when source rlike '^src[0-9]$' then 'web' else 'curated' end")
 LANGS = {"en": 4, "de": 2, "fr": 2, "es": 1}
 
 
 def production_plan(budget_share: int = 800) -> Plan:
+    """Tree of the documents table: sources with one digit are web crawls, the others are curated."""
     return Plan([Level("domain", F.expr("case when source rlike '^src[0-9]$' then 'web' else 'curated' end"),
                        {"web": 2, "curated": 3}),
                  Level("lang", F.col("lang"), LANGS), Level("source", F.col("source"))], budget_share)

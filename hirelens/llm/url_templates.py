@@ -3,11 +3,12 @@
 The tree is built level by level.  A segment's shape has runs of digits as <n>
 and long hexadecimal runs as <h>.  Among the children of a branch, a shape
 becomes the wildcard * where the branch has more than ``max_children`` shapes
-and this one holds less than a tenth of its pages (a variable segment), or where
-its share of good pages doesn't differ from its siblings' (two-proportion z
-below ``z``: similar branches merge).  Others stay branches of their own.  From
-level ``max_depth`` on, the rest of a longer path is one **.  Levels are
-aggregated before anything is joined; the join back has a row per kept branch.
+and this one holds less than a tenth of its pages (a variable segment).  The
+others (so at most ``max_children``) are ordered by their share of good pages,
+and neighbours whose shares don't differ (two-proportion z below ``z``) merge
+into one branch {a|b}, or * if all do.  From level ``max_depth`` on, the rest of
+a longer path is one **.  Levels are aggregated before anything is joined; the
+join back has a row per kept branch.
 
 A template is rejected if its purity, (good + m * host's) / (labelled + m), is
 below ``least``; the host's is smoothed the same way towards that of all pages,
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens.llm.common import cut, lower_ascii
@@ -86,21 +87,27 @@ def templates(pages: DataFrame, s: Settings) -> DataFrame:
         up = kids.groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "pos")])
         both = kids.join(up, ["host", "template"])
-        p = (F.col("pos") + 0.5) / (F.col("lab") + 1)
-        q = (F.col("all_pos") - F.col("pos") + 0.5) / (F.col("all_lab") - F.col("lab") + 1)
-        pooled = (F.col("all_pos") + 1) / (F.col("all_lab") + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("lab") + 1) + 1 / (F.col("all_lab") - F.col("lab") + 1)))
         variable = (F.col("kids") > s.max_children) & (F.col("n") * 10 < F.col("all_n"))
-        alike = (F.col("kids") > 1) & (F.abs(p - q) < s.z * error)
-        own = both.where(~variable & ~alike).select(
-            F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("seg").alias("b_seg"))
+        own = both.where(~variable).withColumn("p", (F.col("pos") + 0.5) / (F.col("lab") + 1))
+        kin = Window.partitionBy("host", "template")
+        line = kin.orderBy("p", "seg")
+        lab, pos = F.lag("lab").over(line), F.lag("pos").over(line)
+        pooled = (F.col("pos") + pos + 1) / (F.col("lab") + lab + 2)
+        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("lab") + 1) + 1 / (lab + 1)))
+        apart = F.coalesce(F.col("p") - F.lag("p").over(line) >= s.z * error, F.lit(True))
+        own = own.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(line))
+        one = (F.max("part").over(kin) == 1) & (F.count(F.lit(1)).over(kin) == F.col("kids")) & (F.col("kids") > 1)
+        names = F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "template", "part")))
+        own = own.select(F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("seg").alias("b_seg"),
+                         F.when(one, "*").when(F.size(names) == 1, F.col("seg"))
+                         .otherwise(F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).alias("branch"))
         here = here.join(own, (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template"))
                          & (F.col("seg") == F.col("b_seg")), "left")
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(
             F.concat(F.lit("/"), F.when(F.col("seg") == "**", F.col("seg")).otherwise(
-                F.coalesce("b_seg", F.lit("*")))))
+                F.coalesce("branch", F.lit("*")))))
         rows = cut(here.withColumn("template", F.concat("template", step))
-                   .drop("seg", "b_host", "b_template", "b_seg"), "url-level")
+                   .drop("seg", "b_host", "b_template", "b_seg", "branch"), "url-level")
     return rows.drop("parts")
 
 
