@@ -140,11 +140,5 @@ DISPLAY_LABELS = {
     "delisted_label": "下架日期",
 }
 
-# Chart column headers of the trend chart.
-CHART_LABELS = {"new_jobs": "新增職缺", "removed_jobs": "減少職缺", "date": "日期"}
-
-# Default row limits.
-DEFAULT_SCAN_LIMIT = 1000
-DEFAULT_ANALYSIS_LIMIT = 10000
-NO_LIMIT_CAP = 1000000
+# Rows of the newest-postings export.
 RECENT_EXPORT_ROWS = 50

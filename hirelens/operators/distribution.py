@@ -263,7 +263,11 @@ def long_unfilled_topk(analysis: DataFrame, k: int | None = 10) -> DataFrame:
     return out.limit(k) if k else out
 
 
-def recent_postings(analysis: DataFrame, k: int | None = None) -> DataFrame:
-    """P16 + O8: recent postings, newest first (fewest shelf days)."""
-    out = analysis.where("recent").orderBy(F.asc_nulls_last("shelf_days"), F.asc_nulls_last("job_no"))
+def recent_postings(analysis: DataFrame, k: int | None = None, longest_first: bool = False) -> DataFrame:
+    """P16 + O8: recent postings, newest first (fewest shelf days).
+
+    ``longest_first`` is the dashboard's order (O6): most shelf days first.
+    """
+    days = F.desc_nulls_last("shelf_days") if longest_first else F.asc_nulls_last("shelf_days")
+    out = analysis.where("recent").orderBy(days, F.asc_nulls_last("job_no"))
     return out.limit(k) if k else out

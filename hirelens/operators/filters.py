@@ -93,8 +93,8 @@ def keyword_text_fallback(jobs: DataFrame) -> Column:
 def keyword_filter_text(jobs: DataFrame, keywords: list[str]) -> DataFrame:
     """P5 explicitly (ignores ``search_keyword``)."""
     text = keyword_text_fallback(jobs)
-    kws = [k.lower() for k in keywords if k]
-    return jobs.where(functools.reduce(operator.and_, [text.contains(k) for k in kws]))
+    kws = [k.lower() for k in keywords or [] if k]
+    return jobs.where(functools.reduce(operator.and_, [text.contains(k) for k in kws])) if kws else jobs
 
 
 def location_filter(jobs: DataFrame, city: str | None = None, district: str | None = None,

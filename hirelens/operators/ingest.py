@@ -82,7 +82,7 @@ def merge_postings(hits: DataFrame, ord_col: str = "ord", key: str = "jobNo",
                    keyword_col: str = "search_keyword") -> DataFrame:
     """One row per ``jobNo``; the first record (smallest ``ord``) wins and
     ``search_keyword`` becomes the distinct keywords in first-seen order.
-    Rows without ``jobNo`` are dropped.
+    Rows without ``jobNo`` (null or empty) are dropped.
 
     Skew-safe: the first aggregation is keyed on (jobNo, keyword) and is
     partially aggregated before the shuffle; the second one only sees one row
@@ -90,7 +90,7 @@ def merge_postings(hits: DataFrame, ord_col: str = "ord", key: str = "jobNo",
     """
     rec_cols = [c for c in hits.columns if c not in (ord_col, keyword_col)]
     kw = F.col(keyword_col)
-    per_kw = (hits.where(F.col(key).isNotNull())
+    per_kw = (hits.where(F.col(key).isNotNull() & (F.col(key) != ""))
               .groupBy(key, keyword_col)
               .agg(F.min(ord_col).alias("_kord"), F.min_by(F.struct(*rec_cols), F.col(ord_col)).alias("_rec")))
     merged = per_kw.groupBy(key).agg(
@@ -159,24 +159,14 @@ def fetch_stats(responses: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Frontier (J10, J11, J13, U3, F12)
 # ---------------------------------------------------------------------------
-MAX_AREAS = 100_000
-
-
 def crawl_frontier(keywords: DataFrame, areas: DataFrame) -> DataFrame:
     """J10 + F12 + U3: every keyword in every area, pages 1..totalPage, with URLs.
 
-    The area list is a code dimension (hundreds of entries); it is carried as
-    one array value (a scalar subquery) and exploded per keyword, with an
-    in-plan size check instead of an unchecked broadcast.  ``areas`` needs
-    ``area_code``, ``area_name`` and ``total_page``.
+    Every keyword with every area is the feature, so this is a plain cross
+    join of the two dimensions, of any size.  ``areas`` needs ``area_code``,
+    ``area_name`` and ``total_page``.
     """
-    # limit(MAX_AREAS + 1) bounds what is collected; the check then fails the
-    # job instead of silently carrying a bigger list.
-    arr = areas.limit(MAX_AREAS + 1).select(
-        F.collect_list(F.struct("area_code", "area_name", "total_page"))).scalar()
-    checked = F.when(F.size(arr) <= MAX_AREAS, arr).otherwise(
-        F.raise_error(F.lit(f"area dimension larger than {MAX_AREAS}")))
-    pairs = keywords.select("keyword", F.explode(checked).alias("a")).select("keyword", "a.*")
+    pairs = keywords.select("keyword").crossJoin(areas.select("area_code", "area_name", "total_page"))
     pages = pairs.select("keyword", "area_code", "area_name",
                          F.explode(F.sequence(F.lit(1), F.col("total_page").cast("int"))).alias("page"))
     return pages.withColumns({

@@ -36,15 +36,18 @@ def existing_statuses(state: DataFrame) -> DataFrame:
     return state.select("jobNo", F.coalesce(F.col("status"), F.lit(C.STATUS_ACTIVE)).alias("status"))
 
 
-def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True) -> DataFrame:
+def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True,
+                  nonempty: Column | None = None) -> DataFrame:
     """Next snapshot from the stored state and today's posting batch.
 
     Adds ``change`` = new | kept | reactivated | delisted | untouched.
-    ``delist=False`` gives the plain upsert (S9) without L1.
+    ``delist=False`` gives the plain upsert (S9) without L1.  ``nonempty`` says
+    whether the crawl found anything (guard of L1); by default the batch is
+    asked, which builds it a second time.
     """
     today = _lit_date(as_of)
     today_txt = F.date_format(today, "yyyy-MM-dd")
-    batch_nonempty = batch.limit(1).select(F.count(F.lit(1)) > 0).scalar()  # reads one row, not the batch
+    batch_nonempty = batch.limit(1).select(F.count(F.lit(1)) > 0).scalar() if nonempty is None else nonempty
     s = state.alias("s")
     b = batch.withColumn("_in_batch", F.lit(True)).alias("b")
     j = s.join(b, F.col("s.jobNo") == F.col("b.jobNo"), "full_outer")
@@ -88,6 +91,21 @@ def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True
         ch)
 
 
+def close_day(state: DataFrame, as_of) -> DataFrame:
+    """L1 on a stored snapshot: active postings that the day ``as_of`` did not update are delisted.
+
+    Without any posting updated that day the crawl was empty and nothing changes.
+    """
+    today = _lit_date(as_of)
+    any_seen = state.where(F.col("last_update_date") == today).limit(1).select(F.count(F.lit(1)) > 0).scalar()
+    gone = any_seen & (F.coalesce("status", F.lit(C.STATUS_ACTIVE)) == C.STATUS_ACTIVE) \
+        & ~F.coalesce(F.col("last_update_date") >= today, F.lit(False))
+    return state.withColumns({
+        "status": F.when(gone, C.STATUS_INACTIVE).otherwise(F.col("status")),
+        "delisted_date": F.when(gone, F.date_format(today, "yyyy-MM-dd")).otherwise(F.col("delisted_date")),
+        "last_update_date": F.when(gone, today).otherwise(F.col("last_update_date"))})
+
+
 def upsert(state: DataFrame, batch: DataFrame, as_of) -> DataFrame:
     """Upsert by jobNo without delisting."""
     return sync_snapshot(state, batch, as_of, delist=False)

@@ -135,7 +135,8 @@ def daily_details(jobs: DataFrame) -> DataFrame:
 def daily_detail_rows(jobs: DataFrame) -> DataFrame:
     """A5 (posting level): each posting with its day's count / change."""
     d = with_dates(jobs)
-    return d.join(daily_details(jobs).withColumnRenamed("date", "appear_dt"), "appear_dt", "inner")
+    # a row per calendar day, so the postings are not shuffled by day
+    return d.join(F.broadcast(daily_details(jobs).withColumnRenamed("date", "appear_dt")), "appear_dt", "inner")
 
 
 def day_over_day_diff(jobs: DataFrame, selected_date=None) -> DataFrame:

@@ -40,7 +40,7 @@ def dashboard(jobs: DataFrame, *, as_of, months=None, keywords=None, city=None,
         "applicant_histogram": D.applicant_histogram(active),
         "flag_ratios": D.flag_ratios(analysis),
         "long_unfilled": D.long_unfilled_topk(analysis, top_k),
-        "recent": D.recent_postings(analysis, top_k),
+        "recent": D.recent_postings(analysis, top_k, longest_first=True),
         "delisted_kpis": T.delisted_kpis(delisted_src, as_of),
         "delisted_buckets": T.delisted_duration_buckets(delisted_src),
         "delisted_daily": T.delisted_daily_ma7(delisted_src),

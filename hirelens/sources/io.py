@@ -2,7 +2,8 @@
 
 Writers never overwrite the directory a plan is reading: a published
 snapshot goes to a new versioned folder and readers resolve the newest
-complete one (``_SUCCESS`` marker written by Spark's committer).  Paths
+complete one (``hirelens.sources.snapshots``: those with the ``_SUCCESS``
+marker of Spark's committer).  Paths
 are taken as given (``s3a://``, ``hdfs://`` or local); intermediate data
 goes under the session's shared checkpoint folder.
 """

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelens import fixtures as X
@@ -16,8 +17,8 @@ def test_two_crawl_days(spark, sf):
     # Day 2 re-fetches only half of the pages: postings seen only on the other half get delisted.
     responses.where(F.col("page_key") % 2 == 0).withColumn("today", F.lit("2001-08-03")).write.json(day2)
     snaps = scratch_path(spark, "snapshots")
-    p1 = run_crawl_day(spark, day1, snaps, dt.date(2001, 8, 2), 1)
-    p2 = run_crawl_day(spark, day2, snaps, dt.date(2001, 8, 3), 2)
+    p1 = run_crawl_day(spark, day1, snaps, dt.date(2001, 8, 2))
+    p2 = run_crawl_day(spark, day2, snaps, dt.date(2001, 8, 3))
     s1, s2 = spark.read.parquet(p1), spark.read.parquet(p2)
     assert s1.count() == s2.count() == s1.select("jobNo").distinct().count()
     delisted = s2.where("status = 'inactive'")
@@ -39,6 +40,12 @@ def test_publish_modes(spark, sf):
     part, n_part = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, days_ago=2, mode="replace", version="2")
     up, n_up = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, days_ago=2, previous=full, version="3")
     assert n_full == jobs.count() and 0 < n_part < n_full and n_up == n_full
+    again, n_again = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, days_ago=2, version="4")
+    assert n_again == n_full  # upserts into the newest complete version
+    _, few = publish_news_jobs(spark, snap, base, as_of=X.AS_OF, limit=7, version="5")
+    assert few == 7
+    with pytest.raises(ValueError):
+        publish_news_jobs(spark, snap, scratch_path(spark, "none"), as_of=X.AS_OF, days_ago=2)
 
 
 def test_dashboard_parity_flag(spark, sf):
