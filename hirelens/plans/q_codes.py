@@ -21,12 +21,18 @@ WITH flat AS (
 """
 
 
+def _tree_file(spark, sf, wrapped=False):
+    """Write the table-derived tree (30 nodes) as a code-table file: one JSON array, or an object that holds it."""
+    path = scratch_path(spark, "code-file")
+    tree = K.tree_from_tables(spark, sf)
+    nodes = F.sort_array(F.collect_list(F.struct(*tree.columns)))
+    tree.select(F.to_json(F.struct(nodes.alias("data")) if wrapped else nodes).alias("value")).write.text(path)
+    return path
+
+
 def _flat_via_file(spark, sf):
-    """Write the table-derived tree as a JSON code file, read it back (S19) and flatten (H1)."""
-    path = scratch_path(spark, "code-tree")
-    K.tree_from_tables(spark, sf).coalesce(1).write.json(path)
-    tree = spark.read.schema(K.node_type()).json(path)
-    return K.flatten_code_tree(tree)
+    """Read the file back (S19) and flatten it (H1)."""
+    return K.flatten_code_tree(K.read_code_tree(spark, _tree_file(spark, sf)))
 
 
 @register("code_tree_flat", FLAT_SQL + "SELECT code, name, depth, is_leaf, root_no FROM flat")
@@ -48,11 +54,7 @@ def q_code_search(spark, sf):
 
 @register("code_table_load", FLAT_SQL + "SELECT code, name FROM flat")
 def q_code_table_load(spark, sf):
-    # A code-table file is one JSON array of root nodes (read with multiLine).
-    path = scratch_path(spark, "code-file")
-    tree = K.tree_from_tables(spark, sf)
-    tree.select(F.to_json(F.collect_list(F.struct(*tree.columns))).alias("value")).write.text(path)
-    return K.load_code_table(spark, path, "area")
+    return K.load_code_table(spark, _tree_file(spark, sf, wrapped=True), "area")
 
 
 AREA_VALUES = ("(VALUES ('6001001000', '台北市', 0), ('6001002000', '新北市', 1), ('6001005000', '桃園市', 2), "
@@ -70,9 +72,27 @@ def q_code_lookup(spark, sf):
     return K.name_to_code(out, "city", codes, "city_code")
 
 
-@register("builtin_codes", """
-SELECT kind, CAST(n AS BIGINT) AS n FROM (VALUES ('area', 8), ('job_cat', 7), ('industry', 5)) t(kind, n)""")
+def _values(kind):
+    return ", ".join(f"('{kind}', '{code}', '{name}')" for code, name in K.BUILTIN[kind])
+
+
+@register("builtin_codes", with_jobs(f""", dict AS (
+  SELECT * FROM (VALUES {_values("area")}, {_values("job_cat")}, {_values("industry")}) t(kind, code, name))
+SELECT kind, dict.code, dict.name, count(jobs.jobNo) AS postings, count(DISTINCT jobs.city) AS cities
+FROM dict LEFT JOIN jobs ON jobs.jobAddrNo = dict.code OR jobs.coIndustryDesc = dict.name
+GROUP BY ALL"""))
 def q_builtin_codes(spark, sf):
-    parts = [K.builtin_codes(spark, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
-             for k in ("area", "job_cat", "industry")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """H4: all three dictionaries, joined to the postings by code or by industry name."""
+    codes = None
+    for kind in ("area", "job_cat", "industry"):
+        own = K.builtin_codes(spark, kind).select(F.lit(kind).alias("kind"), "code", "name")
+        codes = own if codes is None else codes.unionByName(own)
+    jobs = X.jobs_df(spark, sf).select("jobNo", "city", "jobAddrNo", "coIndustryDesc")
+    keyed = jobs.select("jobNo", "city", F.explode(F.array(
+        F.struct(F.lit("code").alias("by"), F.col("jobAddrNo").alias("key")),
+        F.struct(F.lit("name").alias("by"), F.col("coIndustryDesc").alias("key")))).alias("k")).select("jobNo", "city", "k.*")
+    both = codes.select("*", F.explode(F.array(F.struct(F.lit("code").alias("by"), F.col("code").alias("key")),
+                                               F.struct(F.lit("name").alias("by"), F.col("name").alias("key")))).alias("k")) \
+        .select("kind", "code", "name", "k.*")
+    return both.join(keyed, ["by", "key"], "left").groupBy("kind", "code", "name").agg(
+        F.countDistinct("jobNo").alias("postings"), F.countDistinct("city").alias("cities"))

@@ -1,91 +1,85 @@
 """Code tables: H1–H4, J12, S19.
 
 A code tree (area / job category / industry) is a nested JSON document of
-nodes ``{no, des, n: [...], children: [...]}``.  It is read with a schema
-unrolled to a fixed maximum depth; the level below that is read as raw
-JSON text so a deeper tree fails loudly instead of being truncated.
-Flattening is a fixed number of ``explode`` steps — no driver recursion.
+nodes ``{no, des, n: [...], children: [...]}`` of any depth.  Each level is
+parsed from the JSON text of the one above.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelens import constants as C
 from hirelens.functions.literals import literal_frame
+from hirelens.session import scratch_path
 
-DEFAULT_DEPTH = 4
 BUILTIN = {"area": C.BUILTIN_AREA_CODES, "job_cat": C.BUILTIN_JOB_CAT_CODES, "industry": C.BUILTIN_INDUSTRY_CODES}
 
+#: One level of a tree; the lists below it stay JSON text until their level is read.
+NODE = "no string, des string, n string, children string"
 
-def node_type(depth: int = DEFAULT_DEPTH) -> T.StructType:
-    """Node struct nested ``depth`` levels; the deepest ``n``/``children`` are raw JSON text."""
-    child: T.DataType = T.StringType()
-    for _ in range(depth):
-        node = T.StructType([T.StructField("no", T.StringType()), T.StructField("des", T.StringType()),
-                             T.StructField("n", child if isinstance(child, T.StringType) else T.ArrayType(child)),
-                             T.StructField("children",
-                                           child if isinstance(child, T.StringType) else T.ArrayType(child))])
-        child = node
-    return child
 
+def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Root nodes of code-table files: a JSON array of nodes, or an object that holds it as ``data``."""
+    files = spark.read.option("wholetext", True).text(path)
+    plain = F.from_json("value", f"array<struct<{NODE.replace(' ', ':')}>>".replace(",:", ","))
+    wrapped = F.from_json("value", f"struct<data:array<struct<{NODE.replace(' ', ':')}>>>".replace(",:", ","))
+    roots = F.when(F.ltrim("value").startswith("{"), wrapped["data"]).otherwise(plain)
+    return files.select(F.posexplode(roots).alias("pos", "node")).select("pos", "node.*")
 
-def flatten_code_tree(tree: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """H1: code -> name over every node of the tree.
+
+def flatten_code_tree(tree: DataFrame) -> DataFrame:
+    """H1: code -> name over every node of the tree, of any depth.
 
     A child reached through ``children`` gets ``parent.child`` unless its code
-    already starts with the parent's code; a child under ``n`` keeps its
-    code.  Nodes without code or name are skipped; for a duplicate code the
-    last node in depth-first order wins.  Output: code, name, depth,
-    is_leaf (no ``n`` children), root_no, via_children, path.
+    already starts with the parent's code; a child under ``n``, or under a
+    parent without code, keeps its code.  Nodes without code or name are
+    skipped; for a duplicate code the last node in depth-first order wins.
+    Output: code, name, depth, is_leaf (no ``n`` children), root_no,
+    via_children, path.
+
+    Each level is one explode over both lists, written before the next one
+    starts, until a level has no node; the files are read once.
     """
-    lvl = tree.select(F.struct(*[F.col(c) for c in ("no", "des", "n", "children")]).alias("node"),
-                      F.lit("").alias("parent_no"), F.col("no").alias("root_no"),
-                      F.lit(False).alias("via_children"),
-                      F.array(F.monotonically_increasing_id()).alias("path"), F.lit(0).alias("depth"))
+    kind = f"array<struct<{NODE.replace(' ', ':')}>>".replace(",:", ",")
+    empty = F.array().cast(kind)
+
+    def below(field: str):
+        return F.coalesce(F.from_json(F.col(f"node.{field}"), kind), empty)
+
+    def numbered(field: str, number: int):
+        return F.transform(below(field), lambda c, i: F.struct(
+            c.alias("node"), F.lit(number).cast("long").alias("kind"), i.cast("long").alias("at")))
+
+    level = tree.select(F.struct("no", "des", "n", "children").alias("node"), F.lit("").alias("parent_no"),
+                        F.col("no").alias("root_no"), F.lit(False).alias("via_children"),
+                        F.array(F.col("pos").cast("long")).alias("path"), F.lit(0).alias("depth"))
     levels = []
-    for d in range(max_depth):
-        levels.append(lvl)
-        node_t = lvl.schema["node"].dataType
-        if isinstance(node_t["n"].dataType, T.StringType):
+    while True:
+        path = scratch_path(tree.sparkSession, "code-level")
+        level.write.parquet(path)
+        level = tree.sparkSession.read.schema(level.schema).parquet(path)
+        if level.isEmpty():
             break
-
-        def step(field: str, kind: int, via: bool):
-            return lvl.select(F.posexplode(F.col(f"node.{field}")).alias("pos", "child"),
-                              F.col("node.no").alias("parent_no"), "root_no",
-                              (F.col("via_children") | F.lit(via)).alias("via_children"), "path") \
-                .select(F.col("child").alias("node"),
-                        F.col("parent_no") if via else F.lit("").alias("parent_no"),
-                        "root_no", "via_children",
-                        F.concat("path", F.array((F.lit(kind * 1_000_000_000) + F.col("pos")).cast("long"))).alias("path"),
-                        F.lit(d + 1).alias("depth"))
-        lvl = step("children", 0, True).unionByName(step("n", 1, False))
-    deepest = levels[-1]
-    node_t = deepest.schema["node"].dataType
-    if isinstance(node_t["n"].dataType, T.StringType):
-        guard = F.when(F.coalesce(F.col("node.n"), F.lit("[]")).isin("[]", "") &
-                       F.coalesce(F.col("node.children"), F.lit("[]")).isin("[]", ""), F.lit(True)) \
-                 .otherwise(F.raise_error(F.lit("code tree deeper than the configured depth")))
-        levels[-1] = deepest.where(guard)
-
-    def emit(df: DataFrame) -> DataFrame:
-        t = df.schema["node"].dataType
-        n_empty = (F.coalesce(F.col("node.n"), F.lit("[]")).isin("[]", "")
-                   if isinstance(t["n"].dataType, T.StringType) else F.coalesce(F.size("node.n"), F.lit(0)) <= 0)
-        code, pc = F.col("node.no"), F.col("parent_no")
-        full = F.when((pc == "") | code.startswith(pc), code).otherwise(F.concat(pc, F.lit("."), code))
-        return df.where(code.isNotNull() & (code != "") & F.col("node.des").isNotNull() & (F.col("node.des") != "")) \
-            .select(full.alias("code"), F.col("node.des").alias("name"), "depth",
-                    n_empty.alias("is_leaf"), "root_no", "via_children", "path")
-
-    allrows = emit(levels[0])
-    for lv in levels[1:]:
-        allrows = allrows.unionByName(emit(lv))
-    return (allrows.groupBy("code").agg(F.max_by(F.struct("name", "depth", "is_leaf", "root_no", "via_children", "path"),
-                                                  "path").alias("r"))
-            .select("code", "r.*"))
+        levels.append(level)
+        kids = F.concat(numbered("children", 0), numbered("n", 1))
+        level = level.select(F.explode(kids).alias("kid"), F.coalesce("node.no", F.lit("")).alias("up"), "root_no",
+                             F.col("via_children").alias("via"), "path", "depth").select(
+            "kid.node", F.when(F.col("kid.kind") == 0, F.col("up")).otherwise("").alias("parent_no"), "root_no",
+            (F.col("via") | (F.col("kid.kind") == 0)).alias("via_children"),
+            F.concat("path", F.array("kid.kind", "kid.at")).alias("path"), (F.col("depth") + 1).alias("depth"))
+
+    rows = levels[0] if levels else level
+    for more in levels[1:]:
+        rows = rows.unionByName(more)
+    code, up = F.col("node.no"), F.col("parent_no")
+    full = F.when((up == "") | code.startswith(up), code).otherwise(F.concat(up, F.lit("."), code))
+    rows = rows.where((code != "") & (F.col("node.des") != "")).select(
+        full.alias("code"), F.col("node.des").alias("name"), "depth", (F.size(below("n")) == 0).alias("is_leaf"),
+        "root_no", "via_children", "path")
+    return rows.groupBy("code").agg(F.max_by(F.struct(
+        "name", "depth", "is_leaf", "root_no", "via_children", "path"), "path").alias("r")).select("code", "r.*")
 
 
 def leaf_area_codes(flat: DataFrame, root_code: str = C.TAIWAN_AREA_ROOT,
@@ -109,16 +103,14 @@ def builtin_codes(spark: SparkSession, kind: str = "area") -> DataFrame:
                          [("code", "string"), ("name", "string"), ("ordinal", "int")])
 
 
-def load_code_table(spark: SparkSession, path: str | None, kind: str = "area",
-                    max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+def load_code_table(spark: SparkSession, path: str | None, kind: str = "area") -> DataFrame:
     """Read a code-tree JSON file and flatten it; the built-in
     dictionary is used when there is no file or the file yields no code.
     """
     builtin = builtin_codes(spark, kind).select("code", "name")
     if not path:
         return builtin
-    tree = spark.read.schema(node_type(max_depth)).option("multiLine", True).json(path)
-    flat = flatten_code_tree(tree, max_depth).select("code", "name")
+    flat = flatten_code_tree(read_code_tree(spark, path)).select("code", "name")
     n = flat.select(F.count(F.lit(1))).scalar()
     return flat.unionByName(builtin.where(n == 0))
 
