@@ -30,7 +30,7 @@ RESPONSE_TYPE = T.StructType([
     T.StructField("today", T.StringType()), T.StructField("url", T.StringType()),
     T.StructField("first_url", T.StringType()), T.StructField("crawl_url", T.StringType()),
     T.StructField("keyword", T.StringType()), T.StructField("page_key", T.LongType()),
-    T.StructField("page_block", T.LongType()),
+    T.StructField("page_block", T.LongType()), T.StructField("fetch_seq", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("result", T.StructType([
         T.StructField("error", T.StringType()),
@@ -59,15 +59,19 @@ def response_classes(responses: DataFrame) -> DataFrame:
 def explode_responses(responses: DataFrame, as_of) -> DataFrame:
     """S18 + P21: one row per posting of every valid page, tagged with the
     page keyword and ingest metadata, with the arrival ordinal
-    ``ord = (page_key, page_block, pos)``.
+    ``ord = (fetch_seq, page_key, page_block, pos, keyword)``.  ``fetch_seq``
+    is the order in which pages were fetched; where responses lack it, the
+    page's place and the keyword decide, so no tie is left open.
     """
+    if "fetch_seq" not in responses.columns:
+        responses = responses.withColumn("fetch_seq", F.lit(None).cast("long"))
     ok = responses.where(response_class() == "valid")
-    ex = ok.select("keyword", "page_key", "page_block", F.posexplode("result.data.list").alias("pos", "p"))
+    ex = ok.select("keyword", "fetch_seq", "page_key", "page_block", F.posexplode("result.data.list").alias("pos", "p"))
     today = _lit_date(as_of)
     return ex.select(
         "p.*",
         F.when(F.col("keyword").isNotNull() & (F.col("keyword") != ""), F.col("keyword")).alias("search_keyword"),
-        F.struct(F.col("page_key"), F.col("page_block"), F.col("pos")).alias("ord"),
+        F.struct("fetch_seq", "page_key", "page_block", "pos", "keyword").alias("ord"),
         "page_key", "page_block", "pos",
     ).withColumns({
         "crawl_date": today,

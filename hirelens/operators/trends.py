@@ -56,13 +56,16 @@ def daily_job_changes(jobs: DataFrame, date_column: str = "appearDate",
     first differences (W2).
     """
     days = day_counts(jobs, date_column, date_format)
-    first = days.where(F.col("new_jobs") > 0).select(F.min("date")).scalar()
-    last = days.select(F.max("date")).scalar()
-    spine = days.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
-    full = (spine.join(days, "date", "left")
-            .select("date", F.coalesce("new_jobs", F.lit(0).cast("bigint")).alias("new_jobs"),
-                    F.coalesce("removed_jobs", F.lit(0).cast("bigint")).alias("removed_jobs")))
     w = Window.orderBy("date")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the postings are read once: each present day also yields the absent days up to the next present one
+    days = days.select("*", F.min(F.when(F.col("new_jobs") > 0, F.col("date"))).over(whole).alias("first"),
+                       F.lead("date").over(w).alias("next"))
+    spans = days.select("*", F.explode(F.sequence("date", F.coalesce(F.date_sub("next", 1), "date"))).alias("day"))
+    present = F.col("day") == F.col("date")
+    full = spans.where(F.col("day") >= F.col("first")).select(
+        F.col("day").alias("date"),
+        *[F.when(present, F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c) for c in ("new_jobs", "removed_jobs")])
     return full.select(
         "date", "new_jobs", "removed_jobs",
         F.sum(F.col("new_jobs") - F.col("removed_jobs")).over(
@@ -83,8 +86,9 @@ def filter_date_range(stats: DataFrame, date_range: str = "all", date_col: str =
     n = C.DATE_RANGES.get(date_range)
     if n is None:
         return stats
-    mx = stats.select(F.max(date_col)).scalar()
-    return stats.where(F.col(date_col) >= F.date_sub(mx, n))
+    whole = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = stats.withColumn("_last", F.max(date_col).over(whole))  # day-level rows
+    return out.where(F.col(date_col) >= F.date_sub("_last", n)).drop("_last")
 
 
 def chart_data(stats: DataFrame, delisted: DataFrame | None = None) -> DataFrame:
@@ -216,11 +220,9 @@ def calendar_month(daily: DataFrame, month: str | None = None) -> DataFrame:
 
 def month_list(daily: DataFrame) -> DataFrame:
     """Months covered by the series, as labels (month picker)."""
-    first = daily.select(F.min("date")).scalar()
-    last = daily.select(F.max("date")).scalar()
-    return daily.sparkSession.range(1).select(F.explode(F.sequence(
-        F.date_trunc("MONTH", first).cast("date"), F.date_trunc("MONTH", last).cast("date"),
-        F.expr("INTERVAL 1 MONTH"))).alias("month_start")) \
+    ends = daily.agg(F.date_trunc("MONTH", F.min("date")).cast("date").alias("first"),
+                     F.date_trunc("MONTH", F.max("date")).cast("date").alias("last"))
+    return ends.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("month_start")) \
         .select(F.date_format("month_start", C.MONTH_LABEL_FORMAT).alias("month_label"), "month_start")
 
 

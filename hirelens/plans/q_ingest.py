@@ -53,39 +53,55 @@ def q_fetch_stats(spark, sf):
 
 
 def _state_batch(spark, sf):
+    """Stored state and a day's batch: every posting is on one side at least; the batch renames its postings."""
     jobs = X.jobs_df(spark, sf)
     k = F.col("jobNo").cast("bigint")
     state = jobs.where(k % 3 != 0)
-    batch = (jobs.where(k % 4 != 0).drop(*L.STATE_ONLY)
-             .withColumn("crawl_date", F.lit(AS_OF)))
+    batch = (jobs.where((k % 4 != 0) | (k % 3 == 0)).drop(*L.STATE_ONLY)
+             .withColumn("jobName", F.concat("jobName", F.lit(" (update)"))).withColumn("crawl_date", F.lit(AS_OF)))
     return state, batch
 
 
-LIFECYCLE_SQL = f"""
+IN_BATCH = "(CAST(jobNo AS BIGINT) % 4 <> 0 OR CAST(jobNo AS BIGINT) % 3 = 0)"
+
+
+def _sync_sql(delist):
+    """All columns of the next snapshot, and ``change``."""
+    return f"""
 WITH jobs AS ({JOBS_SQL}),
 st AS (SELECT * FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
-bt AS (SELECT jobNo, {AS_OF_SQL} AS crawl_date FROM jobs WHERE CAST(jobNo AS BIGINT) % 4 <> 0),
-j AS (SELECT coalesce(bt.jobNo, st.jobNo) AS jobNo, st.jobNo IS NOT NULL AS in_s, bt.jobNo IS NOT NULL AS in_b,
-             coalesce(st.status, 'active') AS s_status, st.delisted_date AS s_del, st.discovery_date AS s_disc,
-             st.last_update_date AS s_upd, CASE WHEN bt.jobNo IS NOT NULL THEN bt.crawl_date ELSE st.crawl_date END AS crawl_date
+bt AS (SELECT * REPLACE (jobName || ' (update)' AS jobName, {AS_OF_SQL} AS crawl_date) FROM jobs WHERE {IN_BATCH}),
+j AS (SELECT CASE WHEN bt.jobNo IS NOT NULL THEN bt ELSE st END AS r, st.jobNo IS NOT NULL AS in_s,
+             bt.jobNo IS NOT NULL AS in_b, coalesce(st.status, 'active') AS s_status, st.delisted_date AS s_del,
+             st.discovery_date AS s_disc, st.last_update_date AS s_upd
       FROM st FULL OUTER JOIN bt ON st.jobNo = bt.jobNo),
 c AS (SELECT *, CASE WHEN in_s AND in_b AND s_status = 'inactive' THEN 'reactivated'
                      WHEN in_s AND in_b THEN 'kept' WHEN in_b THEN 'new'
-                     WHEN (SELECT count(*) FROM bt) > 0 AND s_status = 'active' THEN 'delisted'
+                     WHEN {delist} AND (SELECT count(*) FROM bt) > 0 AND s_status = 'active' THEN 'delisted'
                      ELSE 'untouched' END AS change FROM j),
-snap AS (SELECT jobNo, crawl_date,
+w AS (SELECT unnest(r), c.* EXCLUDE (r) FROM c),
+snap AS (SELECT * EXCLUDE (in_s, in_b, s_status, s_del, s_disc, s_upd) REPLACE (
        CASE WHEN change IN ('new', 'kept', 'reactivated') THEN 'active' WHEN change = 'delisted' THEN 'inactive' ELSE s_status END AS status,
        CASE WHEN change IN ('new', 'reactivated') THEN NULL WHEN change = 'delisted' THEN strftime({AS_OF_SQL}, '%Y-%m-%d') ELSE s_del END AS delisted_date,
        CASE WHEN change = 'new' THEN {AS_OF_SQL} ELSE s_disc END AS discovery_date,
-       CASE WHEN change = 'untouched' THEN s_upd ELSE {AS_OF_SQL} END AS last_update_date, change FROM c)
+       CASE WHEN change = 'untouched' THEN s_upd ELSE {AS_OF_SQL} END AS last_update_date) FROM w)
 """
 
 
+LIFECYCLE_SQL = _sync_sql("true")
+
+
 @register("lifecycle_sync", LIFECYCLE_SQL + "SELECT * FROM snap")
 def q_lifecycle_sync(spark, sf):
     state, batch = _state_batch(spark, sf)
-    return L.sync_snapshot(state, batch, AS_OF).select(
-        "jobNo", "crawl_date", "status", "delisted_date", "discovery_date", "last_update_date", "change")
+    return L.sync_snapshot(state, batch, AS_OF)
+
+
+@register("upsert_job_rows", _sync_sql("false") + "SELECT * FROM snap")
+def q_upsert_job_rows(spark, sf):
+    """The stored postings after an upsert, with their update date."""
+    state, batch = _state_batch(spark, sf)
+    return L.upsert(state, batch, AS_OF)
 
 
 @register("lifecycle_change_counts", LIFECYCLE_SQL + "SELECT change, count(*) AS n FROM snap GROUP BY 1")
@@ -97,7 +113,7 @@ def q_lifecycle_change_counts(spark, sf):
 @register("upsert_jobs", f"""
 WITH jobs AS ({JOBS_SQL}),
 st AS (SELECT jobNo FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
-bt AS (SELECT jobNo FROM jobs WHERE CAST(jobNo AS BIGINT) % 4 <> 0)
+bt AS (SELECT jobNo FROM jobs WHERE {IN_BATCH})
 SELECT count(*) FILTER (WHERE st.jobNo IS NULL) AS inserted, count(*) FILTER (WHERE st.jobNo IS NOT NULL) AS modified
 FROM bt LEFT JOIN st ON bt.jobNo = st.jobNo""")
 def q_upsert_jobs(spark, sf):
@@ -170,7 +186,7 @@ def q_page_keyword_match(spark, sf):
 
 @register("daily_ingest_batch", f"""
 WITH jobs AS ({JOBS_SQL}), hits AS ({HITS_SQL}),
-st AS (SELECT jobNo, status FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
+st AS (SELECT jobNo, status FROM jobs),
 bt AS (SELECT DISTINCT jobNo FROM hits WHERE jobNo IS NOT NULL AND page_key % 29 <> 0),
 j AS (SELECT st.jobNo IS NOT NULL AS in_s, bt.jobNo IS NOT NULL AS in_b, coalesce(st.status, 'active') AS s_status
       FROM st FULL OUTER JOIN bt ON st.jobNo = bt.jobNo)
@@ -181,5 +197,4 @@ FROM j GROUP BY 1""")
 def q_daily_ingest_batch(spark, sf):
     """Responses -> posting batch -> lifecycle merge against the stored state."""
     from hirelens.plans.reports import daily_ingest
-    state = X.jobs_df(spark, sf).where(F.col("jobNo").cast("bigint") % 3 != 0)
-    return daily_ingest(X.responses_df(spark, sf), state, as_of=AS_OF)["change_counts"]
+    return daily_ingest(X.responses_df(spark, sf), X.jobs_df(spark, sf), as_of=AS_OF)["change_counts"]

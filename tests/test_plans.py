@@ -31,6 +31,17 @@ def test_filter_and_projection_reach_scan(spark, sf):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
 
 
+@pytest.mark.parametrize("name", ["daily_job_changes", "trend_last_30_days", "month_list", "trend_stats"])
+def test_daily_series_reads_the_postings_once(spark, sf, name):
+    plan = _plan(QUERIES[name](spark, sf))
+    assert plan.split("== Initial Plan ==")[0].count("orders.parquet") == 1, plan
+
+
+def test_posting_rows_are_not_shuffled_by_day(spark, sf):
+    plan = _plan(QUERIES["daily_detail_rows"](spark, sf))
+    assert "BroadcastHashJoin [appear_dt" in plan and "SortMergeJoin [appear_dt" not in plan
+
+
 def test_unused_keyword_join_is_pruned(spark, sf):
     """Reports that do not use keywords never scan lineitem."""
     plan = _plan(QUERIES["industry_share"](spark, sf))
