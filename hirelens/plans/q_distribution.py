@@ -219,6 +219,15 @@ def q_recent_postings(spark, sf):
         .select("job_no", "job_name", "company_name", "shelf_days")
 
 
+@register("dashboard_recent", _q(S.ANALYSIS + """
+SELECT job_no, job_name, company_name, shelf_days FROM an2 WHERE recent
+ORDER BY shelf_days DESC NULLS LAST, job_no ASC NULLS LAST LIMIT 10"""))
+def q_dashboard_recent(spark, sf):
+    """R1's recent list (O6): the ten recent postings longest on the shelf."""
+    return D.recent_postings(FL.analysis_projection(X.jobs_df(spark, sf), AS_OF), 10, longest_first=True) \
+        .select("job_no", "job_name", "company_name", "shelf_days")
+
+
 @register("industry_month_wide", _q(MONTHS + """
 SELECT coIndustryDesc AS industry,
        count(jobNo) FILTER (WHERE month = '2001-06') AS "2001-06",
