@@ -27,13 +27,26 @@ PATTERNS = {
 }
 
 
+def final_plan(plan: str) -> str:
+    """The plan without its initial versions (of the query and of its subqueries)."""
+    kept, skip = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if skip is not None and at >= skip:
+            continue
+        skip = at if "== Initial Plan ==" in line else None
+        if skip is None:
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def main(sf):
     spark = get_session("local[8]", 8, extra={"spark.ui.showConsoleProgress": "false"})
     rows = []
     for name, fn in sorted(queries().items()):
         df = fn(spark, sf)
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = final_plan(df._jdf.queryExecution().executedPlan().toString())
         counts = {k: len(re.findall(p, plan)) for k, p in PATTERNS.items()}
         pushed = len(re.findall(r"PushedFilters: \[[^\]]+\]", plan))
         rows.append((name, counts, pushed))
