@@ -2,11 +2,12 @@
 
 Both supported pre-tokenizers never join characters across a blank that stands
 between two non-blank characters (byte-level BPE attaches the blank to what
-follows), so a text is the concatenation of its blank-separated chunks and the
-ids of a chunk can be kept.  A chunk of letters and marks after them is two
-pre-tokens, which go to the library's model alone, in the byte alphabet of
-byte-level BPE.  Other chunks go through the library's whole pipeline, and so do
-texts with characters outside the plain Latin range or blanks in other places.
+follows, and makes a line end a pre-token of its own), so a text is the
+concatenation of its blank-separated chunks and the ids of a chunk can be kept.
+A chunk of letters is one pre-token and marks after them another; these go to
+the library's model alone, in the byte alphabet of byte-level BPE.  Other chunks
+go through the library's whole pipeline, and so do texts with characters outside
+the plain Latin range or blanks in other places.
 """
 
 from __future__ import annotations
@@ -14,16 +15,20 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: Controls, superscripts and fractions, and all beyond Latin: regular expression classes may differ there.
 _UNSAFE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]")
 _ODD_BLANK = re.compile(r" \s")
+_TWO_BLANKS = re.compile(r"\s\s")
 _SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 #: Byte-level BPE writes printable bytes as themselves and the others, in order, as the characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -42,9 +47,9 @@ class _Kept(dict):
 
 
 class ChunkEncoder:
-    """``cap``: most words kept in a Python worker."""
+    """``cap``: most chunks and words kept in a Python worker."""
 
-    def __init__(self, path: str, cap: int = 700_000):
+    def __init__(self, path: str, cap: int = 875_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -57,24 +62,29 @@ class ChunkEncoder:
             and pre["pretokenizers"][0]["invert"]
         self.plain = self.leading_blank or drops_blanks
         self.model = self.lib.model
-        self.words = _Kept(self._word, cap)
-        self.chunks = _Kept(self._parts, cap // 4)
+        self.chunks = _Kept(self._parts, cap)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        mapped = word.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        if word.isascii() and word[0] == " ":
+            mapped = "\u0120" + word[1:]
+        else:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        ids = array("I", [t.id for t in self.model.tokenize(mapped)])
+        return ids.tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
     def _parts(self, chunk: str) -> bytes:
         bare = chunk[1:] if chunk[:1] == " " else chunk
+        if bare.isalpha():
+            word = chunk if self.leading_blank else chunk.lower()
+            return self._word(chunk) if word == chunk else self.chunks[word]
         m = _SIMPLE.fullmatch(bare)
         if not m:
             return self._whole(chunk)
-        word = chunk[:len(chunk) - len(m[2])] if self.leading_blank else m[1].lower()
-        return self.words[word] + self.words[m[2]] if m[2] else self.words[word]
+        return self.chunks[chunk[:len(chunk) - len(m[2])]] + self.chunks[m[2]]
 
     def encode(self, text: str | None) -> bytes:
         """All ids of the text as little-endian uint32 bytes; a null text has none."""
@@ -84,7 +94,11 @@ class ChunkEncoder:
             return self._whole(text)
         if self.leading_blank and (text[0].isspace() or text[-1].isspace() or _ODD_BLANK.search(text)):
             return self._whole(text)
-        cut = text.replace(" ", "\0 ").split("\0") if self.leading_blank else text.split()
+        if not self.leading_blank:
+            cut = text.split()
+        else:
+            lines = text if _TWO_BLANKS.search(text) else text.replace("\n", "\0\n\0")
+            cut = lines.replace(" ", "\0 ").split("\0")
         return b"".join(map(self.chunks.__getitem__, cut))
 
 
