@@ -249,3 +249,11 @@ SELECT industry, last_count - first_count AS growth,
 FROM g ORDER BY growth DESC, industry"""))
 def q_industry_growth_table(spark, sf):
     return D.industry_growth_table(X.jobs_df(spark, sf)).select("industry", "growth", "growth_rate")
+
+
+@register("experience_applicants_wide", _q("""
+SELECT periodDesc, """ + ", ".join(f"count(*) FILTER (WHERE applyDesc = '{b}') AS \"{b}\"" for b in X.APPLY_BANDS if b) + """
+FROM jobs WHERE periodDesc IS NOT NULL AND applyDesc IS NOT NULL GROUP BY 1"""))
+def q_experience_applicants_wide(spark, sf):
+    """A9 in wide form over the known bands."""
+    return D.crosstab_wide(X.jobs_df(spark, sf), "periodDesc", "applyDesc", [b for b in X.APPLY_BANDS if b])

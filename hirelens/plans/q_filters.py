@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hirelens import fixtures as X
 from hirelens.fixtures import AS_OF, AS_OF_SQL, with_hits, with_jobs
 from hirelens.functions import parsing as P
+from hirelens.operators import distribution as D
 from hirelens.operators import filters as FL
 from hirelens.operators import dimensions as DM
 from hirelens.plans import sqlfrag as S
@@ -163,3 +164,49 @@ def q_dashboard_base(spark, sf):
     """S1 + P2 + P3 + P4 + P6: the dashboard's data load, filters before any limit."""
     out = FL.load_jobs(X.jobs_df(spark, sf), as_of=AS_OF, months=24, keywords=["Python"], city="台北市")
     return out.select("jobNo", "appearDate", "city", F.array_join("search_keyword", "|").alias("search_keyword"))
+
+
+@register("scan_ordered_limit", with_jobs("""
+SELECT jobNo, appearDate, status FROM jobs ORDER BY appearDate ASC NULLS LAST, jobNo ASC NULLS LAST LIMIT 100"""))
+def q_scan_ordered_limit(spark, sf):
+    """O1 + P24: a limited scan with its order, inactive postings included."""
+    return FL.scan_jobs(X.jobs_df(spark, sf), limit=100, include_inactive=True, order_by=["appearDate", "jobNo"]) \
+        .select("jobNo", "appearDate", "status")
+
+
+@register("keyword_filter_unset", with_jobs("SELECT jobNo, status FROM jobs"))
+def q_keyword_filter_unset(spark, sf):
+    """P4 / P5 without keywords keep every posting."""
+    return FL.keyword_filter_text(FL.keyword_filter(X.jobs_df(spark, sf), []), []).select("jobNo", "status")
+
+
+@register("month_jobs", with_jobs("""
+SELECT jobNo, appearDate FROM jobs WHERE substr(appearDate, 1, 6) = '200106'"""))
+def q_month_jobs(spark, sf):
+    """Postings of one calendar month."""
+    dated = X.jobs_df(spark, sf).withColumn("date", F.to_date("appearDate", "yyyyMMdd"))
+    return FL.month_filter(dated, "2001-06").select("jobNo", "appearDate")
+
+
+@register("top_industry_jobs", with_jobs("""
+SELECT jobNo, coIndustryDesc, city FROM jobs WHERE city IN ('台北市', '新北市') AND coIndustryDesc IN (
+  SELECT coIndustryDesc FROM jobs WHERE coIndustryDesc IS NOT NULL
+  GROUP BY 1 ORDER BY count(*) DESC, coIndustryDesc LIMIT 3)"""))
+def q_top_industry_jobs(spark, sf):
+    """Membership in a list, and in another frame's column."""
+    jobs = X.jobs_df(spark, sf)
+    top = D.top_n(D.industry_share(jobs), 3).select("industry")
+    return FL.membership(FL.membership(jobs, "city", ["台北市", "新北市"]), "coIndustryDesc", top) \
+        .select("jobNo", "coIndustryDesc", "city")
+
+
+@register("keyword_values", with_jobs("""
+SELECT jobNo, array_to_string(search_keyword, '|') AS from_list, coalesce(NULLIF(city, ''), '') AS from_text,
+       array_to_string(search_keyword, '|') AS parsed FROM jobs"""))
+def q_keyword_values(spark, sf):
+    """F16 on lists and on text, F17 on typed lists with blanks and empty parts."""
+    typed = F.concat(F.lit(" , "), F.concat_ws(" ,, ", "search_keyword"), F.lit(","))
+    return X.jobs_df(spark, sf).select(
+        "jobNo", F.array_join(P.as_keyword_array("search_keyword"), "|").alias("from_list"),
+        F.array_join(P.as_keyword_array("city", "string"), "|").alias("from_text"),
+        F.array_join(P.parse_keyword_list(typed), "|").alias("parsed"))

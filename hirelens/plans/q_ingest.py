@@ -42,6 +42,22 @@ def q_response_classes(spark, sf):
     return I.response_classes(X.responses_df(spark, sf))
 
 
+@register("response_classes_odd", with_hits("""
+SELECT CASE WHEN page_key % 29 = 0 THEN 'error' WHEN page_key % 7 = 0 THEN 'no_data' WHEN page_key % 5 = 0 THEN 'no_list'
+       ELSE 'valid' END AS response_class, count(*) AS page_count,
+       CAST(coalesce(sum(n) FILTER (WHERE page_key % 29 <> 0 AND page_key % 7 <> 0 AND page_key % 5 <> 0), 0) AS BIGINT) AS hits
+FROM (SELECT search_keyword, page_key, page_block, count(*) AS n FROM hits GROUP BY ALL) GROUP BY 1"""))
+def q_response_classes_odd(spark, sf):
+    """S20 with all four classes: some pages have no data, others data without a list."""
+    data = F.col("result.data")
+    data = F.when(F.col("page_key") % 7 != 0, F.when(F.col("page_key") % 5 == 0, data.withField(
+        "list", F.lit(None).cast(I.RESPONSE_TYPE["result"].dataType["data"].dataType["list"].dataType))).otherwise(data))
+    pages = X.responses_df(spark, sf).withColumn("result", F.col("result").withField("data", data))
+    hits = pages.groupBy(I.response_class().alias("response_class")).agg(
+        F.sum(F.when(I.response_class() == "valid", F.size("result.data.list")).otherwise(0)).alias("hits"))
+    return I.response_classes(pages).join(hits, "response_class")
+
+
 @register("fetch_stats", with_hits("""
 SELECT keyword, count(*) FILTER (WHERE page_key % 29 <> 0) AS pages_ok,
        count(*) FILTER (WHERE page_key % 29 = 0) AS pages_failed,

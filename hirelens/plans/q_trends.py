@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hirelens import fixtures as X
 from hirelens.fixtures import AS_OF, AS_OF_SQL, with_jobs
 from hirelens.operators import trends as T
-from hirelens.plans.catalog import register
+from hirelens.plans.catalog import SQL, register
 
 # Shared SQL pieces -----------------------------------------------------------
 DATES = """, d AS (SELECT *, CAST(strptime(appearDate, '%Y%m%d') AS DATE) AS appear_dt,
@@ -230,3 +230,9 @@ def _trend_range_query(rng: str):
 
 for _days in (7, 30, 90):
     register(f"trend_last_{_days}_days", _trend_range_sql(_days))(_trend_range_query(f"last_{_days}_days"))
+
+
+@register("calendar_one_month", f"SELECT * FROM ({SQL['calendar_month']}) WHERE month = '2001-06'")
+def q_calendar_one_month(spark, sf):
+    """A25 + P14: the calendar of one month."""
+    return T.calendar_month(T.daily_job_changes(X.jobs_df(spark, sf)), "2001-06")

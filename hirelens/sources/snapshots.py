@@ -41,3 +41,13 @@ def next_path(spark: SparkSession, base: str) -> str:
     """Folder after the newest complete version, whatever a stream's checkpoint counts."""
     found = [int(v) for v in complete_versions(spark, base) if v.isdigit()]
     return version_path(base, found[-1] + 1 if found else 0)
+
+
+def replace_table(spark: SparkSession, base: str, df: DataFrame) -> str:
+    """``df`` replaces the table under ``base`` as its next version; returns that version's folder.
+
+    Older versions stay, so a reader of the old table, or ``df`` itself, can go on reading it.
+    """
+    path = next_path(spark, base)
+    df.write.mode("overwrite").parquet(path)  # at most an uncommitted try is there
+    return path

@@ -174,3 +174,22 @@ def test_string_keyword_column_coerced(spark):
     got = {r["jobNo"]: r["k"] for r in df.select("jobNo", P.as_keyword_array("search_keyword", "string").alias("k")).collect()}
     assert got == {"1": ["Python"], "2": [], "3": []}
     assert [r["jobNo"] for r in FL.keyword_filter(df, ["python"]).collect()] == ["1"]
+
+
+def test_table_exists_and_columns(spark):
+    from hirelens.sources import io as IO
+    df = spark.range(1).withColumnRenamed("id", "jobNo")
+    df.createOrReplaceTempView("postings_view")
+    assert IO.table_exists(spark, "postings_view") and not IO.table_exists(spark, "no_such_view")
+    assert IO.table_columns(df) == ["jobNo"]
+    spark.catalog.dropTempView("postings_view")
+
+
+def test_replaced_table_keeps_older_versions(spark):
+    from hirelens.session import scratch_path
+    from hirelens.sources import snapshots as SN
+    base = scratch_path(spark, "replaced")
+    first = SN.replace_table(spark, base, spark.range(3))
+    second = SN.replace_table(spark, base, SN.latest_snapshot(spark, base).where("id > 0"))
+    assert first != second and spark.read.parquet(first).count() == 3
+    assert SN.latest_snapshot(spark, base).count() == 2
