@@ -283,6 +283,22 @@ def test_chunked_encoding_is_the_library_s(name):
         assert enc.encode(t) == np.array(enc.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_of_plain_texts_are_the_library_s(name):
+    """Texts without rare characters, which take the chunk path: line ends, marks, digits, capitals, accents."""
+    import public_tokenizers
+
+    rng = random.Random(2)
+    parts = ["the", "Word", "ÉTÉ", "ßig", "naïve", "ªb", "a", "x9", "12", "3_4", ".", ",", "...", "'s", "don't", "(", ")",
+             "\"", "-", "\n", "\n", " ", " ", " ", " ", "\t", "\r\n", "ƒx", "Ǆa", "ªº"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["end.\nStart", "a\nb", "a\n\nb", "a \nb", "a\n b", "a,\nB", "a\n", "\na", "a.\n\"B", "x\n'"]
+    for cap in (3, 100_000):
+        enc = ChunkEncoder(public_tokenizers.path(name), cap=cap)
+        for t in texts:
+            assert enc.encode(t) == np.array(enc.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_ids_round_trip(docs):
     import public_tokenizers
 
