@@ -155,7 +155,7 @@ def day_over_day_diff(jobs: DataFrame, selected_date=None) -> DataFrame:
     aggregation), a window per key ordered by day giving the key's previous
     and next day (at most one row per day per key, so a hot key is bounded
     by the calendar), and one join of the posting rows back to those flags.
-    Day neighbours come from the day-level chain (one row per day).
+    Day neighbours come from the day-level chain (one row per calendar day, broadcast).
     """
     d = with_dates(jobs).withColumn("pkey", P.posting_key()).where(F.col("pkey").isNotNull()) \
         .select(F.col("appear_dt").alias("day"), "pkey", "jobNo", "jobName", "custName")
@@ -165,7 +165,7 @@ def day_over_day_diff(jobs: DataFrame, selected_date=None) -> DataFrame:
     chain = keys.select("day").distinct().select(
         "day", F.lag("day").over(chain_w).alias("prev_day"), F.lead("day").over(chain_w).alias("next_day"))
     flags = (keys.select("day", "pkey", F.lag("day").over(wk).alias("key_prev"), F.lead("day").over(wk).alias("key_next"))
-             .join(chain, "day")
+             .join(F.broadcast(chain), "day")
              .select("day", "pkey", "prev_day", "next_day",
                      (F.col("prev_day").isNotNull() & ~F.col("key_prev").eqNullSafe(F.col("prev_day"))).alias("is_new"),
                      (F.col("next_day").isNotNull() & ~F.col("key_next").eqNullSafe(F.col("next_day"))).alias("is_gone"))
