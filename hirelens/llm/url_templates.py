@@ -2,12 +2,15 @@
 
 The tree is built level by level.  A segment's shape has runs of digits as <n>
 and long hexadecimal runs as <h>.  Among the children of a branch, a shape
-becomes the wildcard * where the branch has more than ``max_children`` shapes
-and this one holds less than a tenth of its pages (a variable segment).  The
-others (so at most ``max_children``) are ordered by their share of good pages,
-and neighbours whose shares don't differ (two-proportion z below ``z``) merge
-into one branch {a|b}, or * if all do.  From level ``max_depth`` on, the rest of
-a longer path is one **.  Levels are aggregated before anything is joined; the
+becomes the wildcard * where the branch has more than ``max_children`` shapes,
+this one holds less than a tenth of its pages (a variable segment), and its
+labels don't set it apart from the other shapes under the wildcard: their
+two-sample G is below z^2 + 2 ln(labelled shapes there), so that chance keeps
+few at any fan-out.  Those set apart leave the wildcard, and the rest are tested
+again until none does; a shape that alone has labels stays a branch too.  The
+others are ordered by their share of good pages, and neighbours whose shares
+don't differ (two-proportion z below ``z``) merge into one branch {a|b}, or * if
+all do.  From level ``max_depth`` on, the rest of a longer path is one **.  Levels are aggregated before anything is joined; the
 join back has a row per kept branch.
 
 A template is rejected if its purity, (good + m * host's) / (labelled + m), is
@@ -75,6 +78,32 @@ def _counts() -> list[Column]:
             F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("pos")]
 
 
+def _fit(pos: Column, lab: Column) -> Column:
+    """Log-likelihood of pos good pages among lab at their own share."""
+    def part(c):
+        return F.when(c > 0, c * F.log(c / lab)).otherwise(0.0)
+    return part(pos) + part(lab - pos)
+
+
+def folded(kids: DataFrame, s: Settings) -> DataFrame:
+    """Stored ``kids`` (host, template, seg, n, lab, pos) with ``kids`` (shapes of the branch) and ``wild`` (becomes *)."""
+    node = ["host", "template"]
+    up = kids.groupBy(node).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"))
+    out = cut(kids.join(up, node).withColumn("wild", (F.col("kids") > s.max_children) & (F.col("n") * 10 < F.col("all_n")))
+              .drop("all_n"), "url-branches")
+    while True:
+        pool = out.where("wild and lab > 0").groupBy(node).agg(
+            F.count(F.lit(1)).alias("tests"), F.sum("lab").alias("p_lab"), F.sum("pos").alias("p_pos"))
+        lab, pos = F.col("p_lab") - F.col("lab"), F.col("p_pos") - F.col("pos")
+        g = 2 * (_fit(F.col("pos"), F.col("lab")) + _fit(pos, lab) - _fit(F.col("p_pos"), F.col("p_lab")))
+        apart = (F.col("tests") == 1) | (g >= s.z ** 2 + 2 * F.log("tests"))
+        leave = cut(out.where("wild and lab > 0").join(pool, node).where(apart).select(*node, "seg"), "url-apart")
+        if leave.isEmpty():
+            return out
+        out = cut(out.join(leave.withColumn("leaves", F.lit(True)), [*node, "seg"], "left")
+                  .withColumn("wild", F.col("wild") & F.col("leaves").isNull()).drop("leaves"), "url-branches")
+
+
 def templates(pages: DataFrame, s: Settings) -> DataFrame:
     """``pages`` (host, path, good and others) with ``template``."""
     rows = cut(pages.withColumn("parts", shapes(F.col("path"), s.max_depth)).withColumn("template", F.lit("")),
@@ -83,12 +112,8 @@ def templates(pages: DataFrame, s: Settings) -> DataFrame:
     for level in range(deepest):
         here = rows.withColumn("seg", F.get("parts", F.lit(level)))
         kids = here.where("seg is not null").groupBy("host", "template", "seg").agg(*_counts())
-        kids = cut(kids, "url-branches")
-        up = kids.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "pos")])
-        both = kids.join(up, ["host", "template"])
-        variable = (F.col("kids") > s.max_children) & (F.col("n") * 10 < F.col("all_n"))
-        own = both.where(~variable).withColumn("p", (F.col("pos") + 0.5) / (F.col("lab") + 1))
+        own = folded(cut(kids, "url-kids"), s).where("not wild").withColumn(
+            "p", (F.col("pos") + 0.5) / (F.col("lab") + 1))
         kin = Window.partitionBy("host", "template")
         line = kin.orderBy("p", "seg")
         lab, pos = F.lag("lab").over(line), F.lag("pos").over(line)

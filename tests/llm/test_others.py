@@ -58,6 +58,26 @@ def test_templates_generalise_merge_and_reject(spark):
     assert of["/de/p"] == of["/fr/p"]  # alike branches merge
 
 
+@pytest.mark.parametrize("sections", [31, 32, 60])
+def test_bad_sections_are_rejected_at_any_fan_out(spark, sections):
+    names = [f"sec{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(sections)]
+    rows = [(f"http://h.net/{w}/p", True) for w in names for _ in range(40)]
+    rows += [("http://h.net/bad/p", False)] * 60 + [("http://h.net/worse/p", False)] * 6
+    rows += [(f"http://h.net/none{chr(97 + k)}/p", None) for k in range(5)]
+    pages = spark.createDataFrame([(k, u, g) for k, (u, g) in enumerate(rows)], "page_id long, url string, good boolean")
+    got = url_templates.judge_urls(pages, rules=()).collect()
+    assert all((g.verdict == "block") == (g.path in ("/bad/p", "/worse/p")) for g in got)
+
+
+def test_variable_segments_stay_wild(spark):
+    rng = random.Random(4)
+    rows = [(f"http://h.net/user/{rng.choice('ghijk')}{''.join(rng.choices('ghijklmnop', k=6))}", rng.random() < 0.9)
+            for _ in range(3000)]
+    pages = spark.createDataFrame([(k, u, g) for k, (u, g) in enumerate(rows)], "page_id long, url string, good boolean")
+    got = url_templates.judge_urls(pages, rules=()).collect()
+    assert len({g.template for g in got}) <= 3
+
+
 def test_template_depth_is_bounded(spark):
     path = F.lit("/" + "/".join(f"s{k}" for k in range(40)))
     assert spark.range(1).select(url_templates.shapes(path, 8).alias("s")).first().s == ["s<n>"] * 8 + ["**"]
