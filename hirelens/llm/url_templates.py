@@ -8,10 +8,14 @@ labels don't set it apart from the other shapes under the wildcard: their
 two-sample G is below z^2 + 2 ln(labelled shapes there), so that chance keeps
 few at any fan-out.  Those set apart leave the wildcard, and the rest are tested
 again until none does; a shape that alone has labels stays a branch too.  The
-others are ordered by their share of good pages, and neighbours whose shares
-don't differ (two-proportion z below ``z``) merge into one branch {a|b}, or * if
-all do.  From level ``max_depth`` on, the rest of a longer path is one **.  Levels are aggregated before anything is joined; the
-join back has a row per kept branch.
+others are taken in the order of their share of good pages; one joins the group
+before it if it differs (two-proportion z of ``z`` or more) neither from the
+group's sum nor from its first.  Shapes without labels are a group of their own,
+or join the labelled ones if those are several and make one group.  A group is
+one branch {a|b} (with more than ``max_children`` shapes, the first and the
+number of others), or * if it is all.  From level ``max_depth`` on, the rest of a longer path is one **.  Levels are aggregated before anything is joined; the
+join back has a row per kept branch; grouping reads a row per branch and pair of
+counts, in order, and holds one group's sums.
 
 A template is rejected if its purity, (good + m * host's) / (labelled + m), is
 below ``least``; the host's is smoothed the same way towards that of all pages,
@@ -25,12 +29,15 @@ and are judged each.  Empty tables give no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import cut, lower_ascii
+from hirelens.llm.common import cut, lower_ascii, to_batch
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
          ("com/de/", "block"))
@@ -104,6 +111,58 @@ def folded(kids: DataFrame, s: Settings) -> DataFrame:
                   .withColumn("wild", F.col("wild") & F.col("leaves").isNull()).drop("leaves"), "url-branches")
 
 
+def _apart(a: tuple[int, int], b: tuple[int, int], z: float) -> bool:
+    """Whether the shares of two (lab, pos) differ."""
+    pooled = (a[1] + b[1] + 1) / (a[0] + b[0] + 2)
+    error = math.sqrt(pooled * (1 - pooled) * (1 / (a[0] + 1) + 1 / (b[0] + 1)))
+    return abs((a[1] + 0.5) / (a[0] + 1) - (b[1] + 0.5) / (b[0] + 1)) >= z * error
+
+
+def parts(own: DataFrame, z: float) -> DataFrame:
+    """host, template, lab, pos, part (from 0 on) of labelled shapes (host, template, lab, pos); equal counts share one."""
+    schema = pa.schema([("host", pa.string()), ("template", pa.string()), ("lab", pa.int64()), ("pos", pa.int64()),
+                        ("part", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, part, first, held = None, 0, (0, 0), (0, 0)
+        for batch in batches:
+            found = []
+            for host, template, lab, pos, same in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if node != (host, template):
+                    node, part, first, held = (host, template), 0, (lab, pos), (0, 0)
+                elif _apart((lab, pos), held, z) or _apart((lab, pos), first, z):
+                    part, first, held = part + 1, (lab, pos), (0, 0)
+                held = held[0] + same * lab, held[1] + same * pos
+                found.append(part)
+            yield to_batch(schema, [*batch.columns[:4], found])
+
+    counts = own.groupBy("host", "template", "lab", "pos").agg(F.count(F.lit(1)).alias("same"))
+    return counts.repartition("host", "template").sortWithinPartitions(
+        "host", "template", (F.col("pos") + 0.5) / (F.col("lab") + 1), "lab").mapInArrow(
+        run, "host string, template string, lab long, pos long, part long")
+
+
+def branches(kids: DataFrame, s: Settings) -> DataFrame:
+    """host, template, seg, branch of the shapes that stay; ``kids`` as ``folded`` returns them."""
+    node = ["host", "template"]
+    own = kids.where("not wild")
+    known = cut(parts(own.where("lab > 0"), s.z), "url-parts")
+    own = own.join(known, [*node, "lab", "pos"], "left")
+    alike = own.groupBy(node).agg(F.max("part").alias("last"), F.count("part").alias("labelled"))
+    bare = F.when((F.col("last") == 0) & (F.col("labelled") > 1), 0).otherwise(-1)
+    own = cut(own.join(alike, node).select(*node, "seg", "kids", F.coalesce("part", bare).alias("part")),
+              "url-own")
+    size = own.groupBy(*node, "part").agg(F.count(F.lit(1)).alias("size"), F.min("seg").alias("least"))
+    names = own.join(size, [*node, "part"]).where(F.col("size") <= s.max_children).groupBy(*node, "part").agg(
+        F.array_join(F.array_sort(F.collect_list("seg")), "|").alias("names"))
+    named = size.join(names, [*node, "part"], "left")
+    whole = (F.col("size") == F.col("kids")) & (F.col("kids") > 1)
+    listed = F.coalesce("names", F.concat("least", F.lit("|+"), F.col("size") - 1))
+    return own.join(named, [*node, "part"]).select(
+        *node, "seg", F.when(whole, "*").when(F.col("size") == 1, F.col("seg"))
+        .otherwise(F.concat(F.lit("{"), listed, F.lit("}"))).alias("branch"))
+
+
 def templates(pages: DataFrame, s: Settings) -> DataFrame:
     """``pages`` (host, path, good and others) with ``template``."""
     rows = cut(pages.withColumn("parts", shapes(F.col("path"), s.max_depth)).withColumn("template", F.lit("")),
@@ -112,20 +171,8 @@ def templates(pages: DataFrame, s: Settings) -> DataFrame:
     for level in range(deepest):
         here = rows.withColumn("seg", F.get("parts", F.lit(level)))
         kids = here.where("seg is not null").groupBy("host", "template", "seg").agg(*_counts())
-        own = folded(cut(kids, "url-kids"), s).where("not wild").withColumn(
-            "p", (F.col("pos") + 0.5) / (F.col("lab") + 1))
-        kin = Window.partitionBy("host", "template")
-        line = kin.orderBy("p", "seg")
-        lab, pos = F.lag("lab").over(line), F.lag("pos").over(line)
-        pooled = (F.col("pos") + pos + 1) / (F.col("lab") + lab + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("lab") + 1) + 1 / (lab + 1)))
-        apart = F.coalesce(F.col("p") - F.lag("p").over(line) >= s.z * error, F.lit(True))
-        own = own.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(line))
-        one = (F.max("part").over(kin) == 1) & (F.count(F.lit(1)).over(kin) == F.col("kids")) & (F.col("kids") > 1)
-        names = F.array_sort(F.collect_set("seg").over(Window.partitionBy("host", "template", "part")))
-        own = own.select(F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("seg").alias("b_seg"),
-                         F.when(one, "*").when(F.size(names) == 1, F.col("seg"))
-                         .otherwise(F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).alias("branch"))
+        own = branches(folded(cut(kids, "url-kids"), s), s).select(
+            F.col("host").alias("b_host"), F.col("template").alias("b_template"), F.col("seg").alias("b_seg"), "branch")
         here = here.join(own, (F.col("host") == F.col("b_host")) & (F.col("template") == F.col("b_template"))
                          & (F.col("seg") == F.col("b_seg")), "left")
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(

@@ -78,6 +78,32 @@ def test_variable_segments_stay_wild(spark):
     assert len({g.template for g in got}) <= 3
 
 
+def _templates_of(spark, sections):
+    """{section: template} of one host; ``sections``: name -> (good, bad, unlabelled) pages."""
+    rows = [(f"http://h.net/{w}/p", g) for w, n in sections.items() for g, k in zip((True, False, None), n, strict=True)
+            for _ in range(k)]
+    pages = spark.createDataFrame([(k, u, g) for k, (u, g) in enumerate(rows)], "page_id long, url string, good boolean")
+    return {g.path[1:-2]: g.template for g in url_templates.judge_urls(pages, rules=()).collect()}
+
+
+def test_unlabelled_siblings_bridge_nothing(spark):
+    got = _templates_of(spark, {"bad": (0, 5, 0), "bare": (0, 0, 5), "fine": (5, 0, 0)})
+    assert len(set(got.values())) == 3
+    got = _templates_of(spark, {"a": (5, 0, 0), "b": (5, 0, 0), "bare": (0, 0, 5)})
+    assert set(got.values()) == {"/*/p"}  # all with labels are alike
+
+
+@pytest.mark.parametrize("sections, labels", [(32, 100), (16, 50)])
+def test_evenly_spread_sections_make_no_chain(spark, sections, labels):
+    good = [round(k * labels / (sections - 1)) for k in range(sections)]
+    got = _templates_of(spark, {f"s{chr(97 + k // 26)}{chr(97 + k % 26)}": (g, labels - g, 0) for k, g in enumerate(good)})
+    groups = {}
+    for k, name in enumerate(sorted(got)):
+        groups.setdefault(got[name], []).append(good[k])
+    assert 3 <= len(groups) < sections
+    assert all(not url_templates._apart((labels, min(g)), (labels, max(g)), 1.96) for g in groups.values())
+
+
 def test_template_depth_is_bounded(spark):
     path = F.lit("/" + "/".join(f"s{k}" for k in range(40)))
     assert spark.range(1).select(url_templates.shapes(path, 8).alias("s")).first().s == ["s<n>"] * 8 + ["**"]
