@@ -6,9 +6,10 @@ and returns a DataFrame; all but the last return the columns of documents.
 back as the next one's docs.  SQL can't express the stages (ORACLE_SQL is None);
 tests compare them with brute-force versions.
 
-Nulls, empty texts, repeated rows and empty tables: as the operators say.  Rows
-with a null doc_id pass the near-duplicate stage.  Mixing may take a document in
-several epochs, as rows of their own.
+Nulls, empty texts, repeated rows and empty tables: as the operators say.  The
+near-duplicate stage keeps one row of a doc_id, and one of the rows without a
+doc_id that have equal sets; near copies among the latter pass.  Mixing may take
+a document in several epochs, as rows of their own.
 """
 
 from __future__ import annotations

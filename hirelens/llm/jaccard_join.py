@@ -43,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from hirelens.llm.common import cut, slices, to_batch
 from hirelens.llm.components import components
@@ -119,6 +120,10 @@ def _ceil(n: int, a: int, b: int) -> int:
     return -(-n * a // b)
 
 
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def postings(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
     """Two kinds of rows: a document's (digest not null) and its prefix shingles' (shingle, pos)."""
     rank = docs.sparkSession.sparkContext.broadcast(counts)
@@ -135,7 +140,7 @@ def postings(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> D
                     n = len(own)
                     sizes.append(n)
                     sketches.append(sketch(own))
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    digests.append(_digest(own))
                     if n and doc is not None:
                         own = own[np.argsort(table[slots(own)], kind="stable")]
                         length = n - _ceil(n, percent, 100) + 1
@@ -241,9 +246,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return own.select("doc_id", "m.text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (doc_id, text)."""
-    found = cut(postings(docs, words, percent, slot_counts(docs, words)), "jaccard-postings")
+def stored_postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    return cut(postings(docs, words, percent, slot_counts(docs, words)), "jaccard-postings")
+
+
+def link_components(docs: DataFrame, words: int = 5, percent: int = 80, found: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (doc_id, text); ``found``: its stored postings."""
+    found = stored_postings(docs, words, percent) if found is None else found
     heads = found.where("digest is not null").select("doc_id", "n", "digest", "sketch", "th")
     heads = heads.where("doc_id is null").drop("th").unionByName(
         heads.where("doc_id is not null").groupBy("doc_id").agg(
@@ -292,10 +301,46 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
+def _with_digest(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (text, row) with the ``digest`` of the text's set; null if the set is empty."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            for part in slices(batch, "text", 4_000_000):
+                own = [_digest(x) if len(x) else None for x in shingles(part["text"].to_pylist(), words, known)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary())],
+                                                 names=[*part.schema.names, "digest"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("digest", BinaryType())]))
+
+
 def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those whose document has a smaller one in its component."""
-    gone = link_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    """One row of each doc_id that is the least of its component; without doc_id, one of those with equal sets.
+
+    Of repeated rows the one with the least text hash stays, whose text the links
+    are of.  A row without doc_id goes if a document with one has an equal set;
+    rows without doc_id and words all stay.
+    """
+    found = stored_postings(docs, words, percent)
+    gone = link_components(docs, words, percent, found).where("component_id <> doc_id").select(
+        F.col("doc_id").alias("gone"))
+    gone = cut(gone, "jaccard-gone")
+    repeated = cut(docs.groupBy(F.col("doc_id").cast("long").alias("gone")).count()
+                   .where("gone is not null and count > 1").select("gone"), "jaccard-repeated")
+    number = docs["doc_id"].cast("long")
+    single = docs.where(number.isNotNull()).join(gone.union(repeated), number == F.col("gone"), "left_anti")
+
+    text = F.col("text").cast("string")
+    rows = docs.select(number.alias("id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    least = F.min_by("row", F.struct(F.xxhash64("text"), F.to_json("row"))).alias("row")
+    again = rows.join(repeated.join(gone, "gone", "left_anti"), F.col("id") == F.col("gone"), "left_semi") \
+        .groupBy("id").agg(least)
+    bare = _with_digest(rows.where("id is null").drop("id"), words)
+    held = found.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(
+        F.min(F.struct("th", "digest")).alias("h")).select("h.digest")
+    copies = bare.where("digest is not null").join(held, "digest", "left_anti").groupBy("digest").agg(least)
+    return single.unionByName(again.select("row.*")).unionByName(copies.select("row.*")) \
+        .unionByName(bare.where("digest is null").select("row.*"))
 
 
 def op3_query(docs: DataFrame) -> DataFrame:

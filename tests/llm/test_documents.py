@@ -142,6 +142,25 @@ def test_jaccard_keeps_one_of_each_group(odd_docs):
     assert {4, 5, 6, 17} & set(ids) == {4} and ids.count(None) == 2
 
 
+def test_repeated_rows_leave_one(spark):
+    """Repeated rows of a doc_id, and copies without one, leave one row each, also after the next stage."""
+    text = {c: " ".join(f"{c}{k}word" for k in range(80)) for c in "abcdef"}
+    rows = [(1, text["a"], "x"), (1, text["a"], "x"), (1, text["a"], "y"), (2, text["b"], "x"), (2, text["c"], "x"),
+            (None, text["d"], "x"), (None, text["d"], "x"), (None, text["d"].upper(), "y"), (None, text["a"], "x"),
+            (3, text["e"], "x"), (4, text["e"], "x"), (4, text["e"], "x"), (None, text["f"], "x"), (None, "", "x"),
+            (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(4)
+    left = jaccard_join.drop_duplicates(docs)
+    assert left.dtypes == docs.dtypes
+    got = [(r.doc_id, (r.text or "")[:1].lower()) for r in left.collect()]
+    kept_of_2 = next(c for i, c in got if i == 2)
+    assert kept_of_2 in "bc"
+    assert Counter(got) == Counter([(1, "a"), (2, kept_of_2), (3, "e"), (None, "d"), (None, "f"), (None, ""), (None, "")])
+    whole = suffix_index.remove_repeats(left)
+    assert Counter((r.doc_id, (r.text or "")[:1].lower()) for r in whole.collect() if r.text) == Counter(
+        g for g in got if g[1])
+
+
 # ---- 10: suffix index
 
 
