@@ -16,7 +16,10 @@ round expands its ``expand`` nearest nodes not expanded yet, by joins with the
 graph and the vectors, until all of the beam are expanded.  The nearest of the
 beam are then measured exactly, in double precision on the original vectors, and
 nodes are replaced by their rows (as many of the smallest vec_ids as a result can
-hold).  Inside the graph, distances are of half-precision vectors.
+hold).  Inside the graph, vectors are multiplied by one power of two (so that no
+square overflows) and packed as floats if all of them are that exactly, else as
+doubles.  Distances are doubles, by differences where two vectors are close;
+those below about 1e-150 of the largest component underflow.
 
 Every valid row is indexed.  Vectors that are null, zero, of another length than
 the commonest (the shortest of equals), or that hold null or non-finite
@@ -28,7 +31,7 @@ With no valid rows there are no results.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.common import bounds, cut, to_batch, whole_groups
 
-EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.float32()), ("new", pa.bool_())])
-EDGE_SQL = "u long, v long, d float, new boolean"
+EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.float64()), ("new", pa.bool_())])
+EDGE_SQL = "u long, v long, d double, new boolean"
+CLOSE = 1e-8  # squared distances below this share of the squared lengths are measured by differences
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,8 @@ class Settings:
     expand: int = 120
     exact: int = 64
     seed: int = 7
+    kind: str = "<f8"  # of the packed vectors; ``fitted`` sets it, and
+    shift: int = 0  # the power of two
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -64,12 +70,16 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, dim, vec (packed doubles) of (vec_id, vector)."""
-    schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary())])
+    """vec_id, dim, vec (packed doubles), top, low, single of (vec_id, vector).
+
+    top and low: the largest and least exponent; single: whether all components have at most 24 bits.
+    """
+    schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary()), ("top", pa.int32()),
+                        ("low", pa.int32()), ("single", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, vecs = [], [], []
+            ids, dims, vecs, tops, lows, singles = [], [], [], [], [], []
             for vec_id, v in zip(batch["vec_id"].to_pylist(), batch["vector"].to_pylist(), strict=True):
                 if vec_id is None or not v or None in v:
                     continue
@@ -78,51 +88,76 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
                     ids.append(vec_id)
                     dims.append(len(a))
                     vecs.append((a + 0.0).tobytes())  # one zero
-            yield to_batch(schema, [ids, dims, vecs])
+                    bits, power = np.frexp(a[a != 0])
+                    tops.append(int(power.max()))
+                    lows.append(int(power.min()))
+                    singles.append(bool((np.ldexp(bits, 24) % 1 == 0).all()))
+            yield to_batch(schema, [ids, dims, vecs, tops, lows, singles])
 
     found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>")
-                        .alias("vector")).mapInArrow(run, "vec_id long, dim int, vec binary")
-    found = cut(found.groupBy("vec_id").agg(F.min(F.struct("vec", "dim")).alias("m"))
-                .select("vec_id", "m.dim", "m.vec"), "nn-valid")
+                        .alias("vector")).mapInArrow(run, "vec_id long, dim int, vec binary, top int, low int, single boolean")
+    found = cut(found.groupBy("vec_id").agg(F.min(F.struct("vec", "dim", "top", "low", "single")).alias("m"))
+                .select("vec_id", "m.dim", "m.vec", "m.top", "m.low", "m.single"), "nn-valid")
     common = found.groupBy("dim").count().agg(F.max_by("dim", F.struct("count", (-F.col("dim")).alias("d")))
                                               .alias("dim")).select("dim").scalar()
     return found.where(F.col("dim") == common)
 
 
+def fitted(valid: DataFrame, s: Settings) -> Settings:
+    """``s`` with the kind and shift that lose nothing of the valid vectors."""
+    top, low, single = valid.agg(F.max("top"), F.min("low"), F.min("single")).first()
+    if top is None:
+        return s
+    return replace(s, shift=-top, kind="<f4" if single and low - top >= -125 else "<f8")
+
+
 def _nodes(valid: DataFrame, s: Settings) -> DataFrame:
-    """node, vec (packed halves), proj (random projections) of each distinct vector."""
+    """node, vec (packed as s.kind), proj (random projections) of each distinct vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch["vec"], "<f8")
+            m = np.ldexp(_matrix(batch["vec"], "<f8"), s.shift)
             way = np.random.default_rng(s.seed).standard_normal((m.shape[1], s.projections))
-            p = (m @ way).astype(np.float32)
+            p = m @ way
             yield pa.record_batch({
-                "node": batch["node"], "vec": pa.array([x.tobytes() for x in m.astype("<f2")], pa.binary()),
-                "proj": pa.array(list(p), pa.list_(pa.float32()))})
+                "node": batch["node"], "vec": pa.array([x.tobytes() for x in m.astype(s.kind)], pa.binary()),
+                "proj": pa.array(list(p), pa.list_(pa.float64()))})
 
     distinct = valid.groupBy("vec").agg(F.min("vec_id").alias("node"))
-    return distinct.select("node", "vec").mapInArrow(run, "node long, vec binary, proj array<float>")
+    return distinct.select("node", "vec").mapInArrow(run, "node long, vec binary, proj array<double>")
+
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of a to each of b."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    size = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    d = size - 2 * a @ b.T
+    row, col = np.nonzero(d <= CLOSE * size)
+    for k in range(0, len(row), 20_000):
+        x = a[row[k:k + 20_000]] - b[col[k:k + 20_000]]
+        d[row[k:k + 20_000], col[k:k + 20_000]] = (x * x).sum(1)
+    return np.sqrt(d)
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float32), b.astype(np.float32)
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.maximum(d, 0)
+
+def _lengths(d: np.ndarray) -> np.ndarray:
+    """Length of each row; a power of two is taken out, so that no square overflows."""
+    power = np.frexp(np.abs(d).max(1, initial=0))[1]
+    d = np.ldexp(d, -power[:, None])
+    return np.ldexp(np.sqrt((d * d).sum(1)), power)
 
 
 def _start(nodes: DataFrame, s: Settings) -> DataFrame:
     """Edges to the nearest others in a run along each projection."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def near(rows: pa.Table):
-            ids, m = rows["node"].to_numpy(), _matrix(rows["vec"].combine_chunks(), "<f2")
-            d = _squared(m, m)
+            ids, m = rows["node"].to_numpy(), _matrix(rows["vec"].combine_chunks(), s.kind)
+            d = _distances(m, m)
             np.fill_diagonal(d, np.inf)
             k = min(s.k, len(ids) - 1)
             at = np.argpartition(d, k - 1, 1)[:, :k] if k else np.empty((len(ids), 0), np.int64)
             return to_batch(EDGE, [pa.array(np.repeat(ids, k)), pa.array(ids[at].ravel()),
-                                   pa.array(np.take_along_axis(d, at, 1).ravel().astype(np.float32)),
+                                   pa.array(np.take_along_axis(d, at, 1).ravel()),
                                    pa.array(np.ones(k * len(ids), bool))])
 
         held: list[pa.RecordBatch] = []
@@ -164,7 +199,7 @@ def _meet(edges: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
         F.col("u").alias("node"), F.when(F.col("n") >= s.k, F.col("worst")).otherwise(F.lit(float("inf")))
         .alias("worst"))
     known = nodes.select("node", "vec").join(worst, "node", "left").select(
-        F.col("node").alias("v"), "vec", F.coalesce("worst", F.lit(float("inf"))).cast("float").alias("worst"))
+        F.col("node").alias("v"), "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     around = _around(edges, s)
     lively = around.groupBy("u").agg(F.max("new").alias("any")).where("any").select("u")
     rows = around.join(lively, "u", "left_semi").join(known, "v").select("u", "v", "new", "vec", "worst")
@@ -172,11 +207,13 @@ def _meet(edges: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def best(us, vs, ds):
             u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
-            order = np.lexsort((v, d, u))
+            order = np.lexsort((d, v, u))
             u, v, d = u[order], v[order], d[order]
-            fresh = np.ones(len(u), bool)  # the same pair has the same distance, so equals are neighbours here
+            fresh = np.ones(len(u), bool)
             fresh[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
             u, v, d = u[fresh], v[fresh], d[fresh]
+            order = np.lexsort((v, d, u))
+            u, v, d = u[order], v[order], d[order]
             first = bounds(u)[:-1]
             place = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
             keep = place < s.k
@@ -185,13 +222,13 @@ def _meet(edges: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
         us, vs, ds, held = [], [], [], 0
         for part in whole_groups(batches, "u"):
             ids, new = part["v"].to_numpy(), part["new"].to_numpy(zero_copy_only=False)
-            m, worst = _matrix(part["vec"], "<f2").astype(np.float32), part["worst"].to_numpy()
+            m, worst = _matrix(part["vec"], s.kind), part["worst"].to_numpy()
             at = bounds(part["u"].to_numpy())
             for a, b in zip(at[:-1], at[1:], strict=True):
                 if b - a < 2:
                     continue
                 own = ids[a:b]
-                d = _squared(m[a:b], m[a:b])
+                d = _distances(m[a:b], m[a:b])
                 ok = (new[a:b, None] | new[None, a:b]) & (d < worst[a:b, None])
                 np.fill_diagonal(ok, False)
                 d = np.where(ok, d, np.inf)
@@ -201,7 +238,7 @@ def _meet(edges: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
                 row, col = np.nonzero(np.isfinite(got))
                 us.append(own[row])
                 vs.append(own[near[row, col]])
-                ds.append(got[row, col].astype(np.float32))
+                ds.append(got[row, col])
                 held += len(row)
             if held > 1_000_000:
                 u, v, d = best(us, vs, ds)
@@ -226,8 +263,8 @@ def neighbour_graph(nodes: DataFrame, s: Settings) -> DataFrame:
     return cut(_around(edges, s).select("u", "v"), "nn-graph")
 
 
-BEAM = "array<struct<d:float,id:long,done:boolean>>"
-_BEAM = pa.list_(pa.struct([("d", pa.float32()), ("id", pa.int64()), ("done", pa.bool_())]))
+BEAM = "array<struct<d:double,id:long,done:boolean>>"
+_BEAM = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("done", pa.bool_())]))
 
 
 def _merge(seen: dict[int, tuple[float, bool]], ids, d, size: int) -> list[dict]:
@@ -254,11 +291,11 @@ def _advance(state: DataFrame, graph: DataFrame, nodes: DataFrame, s: Settings)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, "q", 20_000):
             at = bounds(part["q"].to_numpy())
-            m = _matrix(part["vec"], "<f2")
+            m = _matrix(part["vec"], s.kind)
             ids = part["node"].fill_null(-1).to_numpy()
             qs, vecs, beams = [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):  # the query's own row is the first
-                d = _squared(m[a:a + 1], m[a + 1:b])[0].tolist() if b - a > 1 else []
+                d = _distances(m[a:a + 1], m[a + 1:b])[0].tolist() if b - a > 1 else []
                 seen = {x["id"]: (x["d"], x["done"]) for x in part["beam"][a].as_py()}
                 beams.append(_merge(seen, ids[a + 1:b].tolist(), d, s.beam))
                 qs.append(part["q"][a].as_py())
@@ -270,19 +307,19 @@ def _advance(state: DataFrame, graph: DataFrame, nodes: DataFrame, s: Settings)
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
-    """q, node: the ``exact`` nearest of each query's beam.  ``queries``: q, qvec (halves), own (its node or null)."""
+    """q, node: the ``exact`` nearest of each query's beam.  ``queries``: q, qvec (packed as s.kind), own (its node or null)."""
     entries = nodes.orderBy(F.xxhash64("node"), "node").limit(s.entries).select("node", "vec").collect()
     if not entries:
         return queries.select("q", F.col("own").alias("node")).limit(0)
     ids = [r.node for r in entries]
-    vecs = np.frombuffer(b"".join(bytes(r.vec) for r in entries), "<f2").reshape(len(ids), -1)
+    vecs = np.frombuffer(b"".join(bytes(r.vec) for r in entries), s.kind).reshape(len(ids), -1)
     schema = pa.schema([("q", pa.int64()), ("qvec", pa.binary()), ("beam", _BEAM)])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = _squared(_matrix(batch["qvec"], "<f2"), vecs)
+            d = _distances(_matrix(batch["qvec"], s.kind), vecs)
             beams = []
             for row, own in zip(d, batch["own"].to_pylist(), strict=True):
                 seen = {} if own is None else {own: (0.0, False)}
@@ -307,6 +344,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, s: Settings)
 def nearest(rows: DataFrame, is_query: Column, top: int = 10, s: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest other rows of each query among (vec_id, vector)."""
     valid = valid_vectors(rows)
+    s = fitted(valid, s)
     nodes = cut(_nodes(valid, s), "nn-nodes")
     graph = neighbour_graph(nodes, s)
     place = Window.partitionBy("vec").orderBy("vec_id")
@@ -325,8 +363,7 @@ def nearest(rows: DataFrame, is_query: Column, top: int = 10, s: Settings = Sett
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = _matrix(batch["full"], "<f8") - _matrix(batch["vec"], "<f8")
-            yield to_batch(schema, [batch["q"], batch["node"], pa.array(np.sqrt((d * d).sum(1)) if len(d) else [],
-                                                                         pa.float64())])
+            yield to_batch(schema, [batch["q"], batch["node"], pa.array(_lengths(d) if len(d) else [], pa.float64())])
 
     scored = pairs.select("q", "node", "full", "vec").mapInArrow(measure, "q long, node long, score double")
     order = Window.partitionBy("q").orderBy("score", "vec_id")

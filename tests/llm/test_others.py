@@ -151,6 +151,29 @@ def test_neighbours_odd_vectors(spark):
     assert nn_descent.op4_query(data.limit(0)).count() == 0
 
 
+def _recall(spark, vectors):
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    got = nn_descent.op4_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = neighbours_brute(rows)
+    assert len(got) == 10 * len(want) and all(np.isfinite(g.score) for g in got)
+    return sum(g.vec_id in {i for _, i in want[g.query_id]} for g in got) / len(got)
+
+
+def test_neighbours_in_groups_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(2, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    vectors = np.repeat(centre, 1000, 0) + 3e-5 * rng.normal(size=(2000, 64))
+    assert _recall(spark, vectors) >= 0.9
+    assert _recall(spark, vectors.astype(np.float32)) >= 0.9
+
+
+def test_neighbours_of_large_and_small_components(spark):
+    rng = np.random.default_rng(6)
+    scale = np.repeat([1e6, 1.0, 1e-9, 1e100], 200)
+    assert _recall(spark, rng.normal(size=(800, 8)) * scale[:, None]) >= 0.9
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     body = "<p>" + "same " * 40
