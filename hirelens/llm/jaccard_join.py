@@ -333,14 +333,17 @@ def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     text = F.col("text").cast("string")
     rows = docs.select(number.alias("id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
     least = F.min_by("row", F.struct(F.xxhash64("text"), F.to_json("row"))).alias("row")
-    again = rows.join(repeated.join(gone, "gone", "left_anti"), F.col("id") == F.col("gone"), "left_semi") \
-        .groupBy("id").agg(least)
-    bare = _with_digest(rows.where("id is null").drop("id"), words)
-    held = found.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(
-        F.min(F.struct("th", "digest")).alias("h")).select("h.digest")
-    copies = bare.where("digest is not null").join(held, "digest", "left_anti").groupBy("digest").agg(least)
-    return single.unionByName(again.select("row.*")).unionByName(copies.select("row.*")) \
-        .unionByName(bare.where("digest is null").select("row.*"))
+    out = single
+    if not repeated.isEmpty():
+        again = rows.join(repeated.join(gone, "gone", "left_anti"), F.col("id") == F.col("gone"), "left_semi")
+        out = out.unionByName(again.groupBy("id").agg(least).select("row.*"))
+    if not docs.where(number.isNull()).isEmpty():
+        bare = _with_digest(rows.where("id is null").drop("id"), words)
+        held = found.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(
+            F.min(F.struct("th", "digest")).alias("h")).select("h.digest")
+        copies = bare.where("digest is not null").join(held, "digest", "left_anti").groupBy("digest").agg(least)
+        out = out.unionByName(copies.select("row.*")).unionByName(bare.where("digest is null").select("row.*"))
+    return out
 
 
 def op3_query(docs: DataFrame) -> DataFrame:
