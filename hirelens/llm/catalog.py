@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.llm import (
+    exact_dedup,
     gru_lm,
     jaccard_join,
     mixing,
@@ -33,8 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": lambda s, d: packing.op8_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_suffix_index": lambda s, d: suffix_index.op10_query(table(s, d, "documents")),
+        "op13_exact_mph": lambda s, d: exact_dedup.op13_query(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.SQL, "op9_mixing": mixing.SQL}
+    return {"op6_warc": warc.SQL, "op9_mixing": mixing.SQL, "op13_exact_mph": exact_dedup.SQL}
