@@ -15,6 +15,7 @@ from hirelens.llm import (
     packing,
     quality_rules,
     rans,
+    spelling,
     suffix_index,
     url_templates,
     warc,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": lambda s, d: packing.op8_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_suffix_index": lambda s, d: suffix_index.op10_query(table(s, d, "documents")),
+        "op12_reduced_spelling": lambda s, d: spelling.op12_query(table(s, d, "documents")),
         "op13_exact_mph": lambda s, d: exact_dedup.op13_query(table(s, d, "documents")),
     }
 
