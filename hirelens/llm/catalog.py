@@ -10,6 +10,7 @@ from hirelens.llm import (
     exact_dedup,
     gru_lm,
     jaccard_join,
+    lexical_search,
     mixing,
     nn_descent,
     packing,
@@ -35,10 +36,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": lambda s, d: packing.op8_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_suffix_index": lambda s, d: suffix_index.op10_query(table(s, d, "documents")),
+        "op11_geometric_blocks": lambda s, d: lexical_search.op11_query(table(s, d, "documents"), table(s, d, "benchmark")),
         "op12_reduced_spelling": lambda s, d: spelling.op12_query(table(s, d, "documents")),
         "op13_exact_mph": lambda s, d: exact_dedup.op13_query(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.SQL, "op9_mixing": mixing.SQL, "op13_exact_mph": exact_dedup.SQL}
+    return {"op6_warc": warc.SQL, "op9_mixing": mixing.SQL, "op11_geometric_blocks": lexical_search.SQL,
+            "op13_exact_mph": exact_dedup.SQL}
