@@ -39,6 +39,18 @@ RESPONSE_TYPE = T.StructType([
             T.StructField("list", T.ArrayType(POSTING_TYPE))]))]))])
 
 
+def _open_type(t: T.DataType) -> T.DataType:
+    if t == T.ArrayType(POSTING_TYPE):
+        return T.ArrayType(T.VariantType())
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _open_type(f.dataType)) for f in t])
+    return t
+
+
+#: Responses whose postings are VARIANT values: any field of a posting is kept.
+OPEN_RESPONSE_TYPE = _open_type(RESPONSE_TYPE)
+
+
 def _lit_date(d) -> Column:
     return F.lit(d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)))
 
@@ -62,6 +74,10 @@ def explode_responses(responses: DataFrame, as_of) -> DataFrame:
     ``ord = (fetch_seq, page_key, page_block, pos, keyword)``.  ``fetch_seq``
     is the order in which pages were fetched; where responses lack it, the
     page's place and the keyword decide, so no tie is left open.
+
+    Postings read as VARIANT (``OPEN_RESPONSE_TYPE``) give the named columns and
+    the whole posting as ``doc``.  A field of another type than its column reads
+    as null there and stays as it is in ``doc``.
     """
     if "fetch_seq" not in responses.columns:
         responses = responses.withColumn("fetch_seq", F.lit(None).cast("long"))
@@ -69,7 +85,7 @@ def explode_responses(responses: DataFrame, as_of) -> DataFrame:
     ex = ok.select("keyword", "fetch_seq", "page_key", "page_block", F.posexplode("result.data.list").alias("pos", "p"))
     today = _lit_date(as_of)
     return ex.select(
-        "p.*",
+        *posting_fields(ex.schema["p"].dataType),
         F.when(F.col("keyword").isNotNull() & (F.col("keyword") != ""), F.col("keyword")).alias("search_keyword"),
         F.struct("fetch_seq", "page_key", "page_block", "pos", "keyword").alias("ord"),
         "page_key", "page_block", "pos",
@@ -82,26 +98,53 @@ def explode_responses(responses: DataFrame, as_of) -> DataFrame:
     })
 
 
+def posting_fields(kind: T.DataType) -> list[Column]:
+    """The columns of a posting ``p``; ``doc`` too if it is a VARIANT."""
+    if not isinstance(kind, T.VariantType):
+        return [F.col("p.*")]
+    named = [F.try_variant_get("p", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in POSTING_TYPE]
+    return [*named, F.col("p").alias("doc")]
+
+
+def has_posting(responses: DataFrame) -> Column:
+    """Whether a page's list holds a posting with a ``jobNo``."""
+    open_list = isinstance(responses.select("result.data.list").schema[0].dataType.elementType, T.VariantType)
+    return F.exists("result.data.list", lambda p: (
+        F.try_variant_get(p, "$.jobNo", "string") if open_list else p["jobNo"]) != "")
+
+
+def set_fields(old: Column, new: Column) -> Column:
+    """Shallow update of VARIANT objects: fields of ``new`` replace or join those of ``old``, the others stay.
+
+    A null, or a value that is no object, has no fields; without fields on both sides the result is null.
+    """
+    def fields(c: Column) -> Column:
+        return F.try_variant_get(c, "$", "map<string,variant>")
+
+    a, b = fields(old), fields(new)
+    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    return F.to_variant_object(F.coalesce(both, b, a))
+
+
 def merge_postings(hits: DataFrame, ord_col: str = "ord", key: str = "jobNo",
                    keyword_col: str = "search_keyword") -> DataFrame:
     """One row per ``jobNo``; the first record (smallest ``ord``) wins and
     ``search_keyword`` becomes the distinct keywords in first-seen order.
     Rows without ``jobNo`` (null or empty) are dropped.
 
-    Skew-safe: the first aggregation is keyed on (jobNo, keyword) and is
-    partially aggregated before the shuffle; the second one only sees one row
-    per distinct keyword of a posting.
+    Skew-safe: the record is one ``min_by`` per posting and the keywords are
+    counted down on narrow rows, first per (jobNo, keyword); all of it is
+    partially aggregated before a shuffle.
     """
-    rec_cols = [c for c in hits.columns if c not in (ord_col, keyword_col)]
-    kw = F.col(keyword_col)
-    per_kw = (hits.where(F.col(key).isNotNull() & (F.col(key) != ""))
-              .groupBy(key, keyword_col)
-              .agg(F.min(ord_col).alias("_kord"), F.min_by(F.struct(*rec_cols), F.col(ord_col)).alias("_rec")))
-    merged = per_kw.groupBy(key).agg(
-        F.min_by("_rec", "_kord").alias("_rec"),
-        F.sort_array(F.collect_list(F.when(kw.isNotNull(), F.struct(F.col("_kord"), kw.alias("k"))))).alias("_kws"))
-    return merged.select(*[F.col("_rec")[c].alias(c) for c in rec_cols],
-                         F.transform("_kws", lambda e: e["k"]).alias(keyword_col))
+    rec_cols = [c for c in hits.columns if c not in (ord_col, keyword_col, key)]
+    rows = hits.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rec_cols), F.col(ord_col)).alias("_rec"))
+    found = (rows.where(F.col(keyword_col).isNotNull()).groupBy(key, keyword_col).agg(F.min(ord_col).alias("_kord"))
+             .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_kord", F.col(keyword_col).alias("k")))).alias("_kws")))
+    none = F.array().cast("array<string>")
+    return first.join(found, key, "left").select(
+        *[F.col(c) if c == key else F.col("_rec")[c].alias(c) for c in hits.columns if c not in (ord_col, keyword_col)],
+        F.coalesce(F.transform("_kws", lambda e: e["k"]), none).alias(keyword_col))
 
 
 def parse_fields(postings: DataFrame) -> DataFrame:
@@ -187,9 +230,42 @@ def frontier_pending(frontier: DataFrame, crawl_log: DataFrame, as_of) -> DataFr
 
 
 def page_keyword_match(pages: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Fetched pages that belong to a planned (keyword, URL) of the frontier."""
-    plan = frontier.select("keyword", F.col("crawl_url").alias("url")).distinct()
-    return pages.join(plan, ["keyword", "url"], "left_semi")
+    """Each fetched page with each keyword it belongs to, as ``matched_keyword``.
+
+    A page belongs to a keyword of the frontier if it was fetched for it, or if
+    its URL contains one of the keyword's planned URLs; one row for both.  A
+    null or empty planned URL is contained in none, null keywords match nothing.
+
+    Containment is a join on equality: a planned URL can only start where the
+    page's URL has its ``://``, so a page's URL gives the pieces at those places
+    that are as long as some planned URL, and an equal piece is the proof.
+    Planned URLs without ``://`` are tried at every place.
+    """
+    plan = frontier.where(F.col("keyword").isNotNull()).select(F.col("keyword").alias("matched_keyword"),
+                                                               F.col("crawl_url").alias("piece")).distinct()
+    mark = F.instr("piece", "://")
+    planned = plan.where(F.length("piece") > 0)
+    shapes = planned.agg(F.collect_set(F.struct(mark.alias("mark"), F.length("piece").alias("n")))).scalar()  # bounded by URL lengths
+    urls = pages.where(F.length("url") > 0).select("url").distinct().withColumn("_shapes", shapes)
+
+    def piece_at(at: Column, shape: Column) -> Column:
+        start = F.when(shape["mark"] > 0, at - shape["mark"] + 1).otherwise(at)
+        fits = (start >= 1) & (start + shape["n"] - 1 <= F.length("url"))
+        meets = (shape["mark"] == 0) | (F.substring(F.col("url"), at, F.lit(3)) == "://")
+        return F.when(fits & meets, F.substring(F.col("url"), start, shape["n"]))
+
+    places = F.sequence(F.lit(1), F.length("url"))
+    marked = F.filter(places, lambda at: F.substring(F.col("url"), at, F.lit(3)) == "://")
+    free = F.exists("_shapes", lambda shape: shape["mark"] == 0)
+    pieces = F.flatten(F.transform(F.when(free, places).otherwise(marked),
+                                   lambda at: F.transform("_shapes", lambda shape: piece_at(at, shape))))
+    found = urls.select("url", F.explode(F.array_distinct(pieces)).alias("piece")).where(F.col("piece").isNotNull()) \
+        .join(planned, "piece").select("url", "matched_keyword").distinct()
+    names = plan.select(F.col("matched_keyword").alias("keyword")).distinct()
+    by_name = pages.join(names, "keyword", "left_semi").select(*pages.columns, F.col("keyword").alias("matched_keyword"))
+    by_url = pages.join(found, "url").where(~F.col("keyword").eqNullSafe(F.col("matched_keyword"))) \
+        .select(*pages.columns, "matched_keyword")
+    return by_name.unionByName(by_url)
 
 
 def _iso(d) -> str:

@@ -11,6 +11,9 @@ day is applied as ONE full outer join of state and batch on ``jobNo``:
                  crawl is empty (no-op guard)                  (L1, J4)
 * batch only   → new posting, discovered today                  (S9)
 
+A VARIANT column (``doc``, the whole posting) is updated field by field: fields
+that the batch's posting lacks keep their stored values.
+
 The result is a new snapshot; writing it goes to a NEW directory (see
 ``hirelens.sources.io.publish``), never over the one being read.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens import constants as C
+from hirelens.operators.ingest import set_fields
 
 STATE_ONLY = ("status", "delisted_date", "discovery_date", "last_update_date")
 
@@ -67,7 +71,10 @@ def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True
     for c in all_cols:
         if c in STATE_ONLY:
             continue
-        if c in batch_cols and c in state.columns:
+        if c in batch_cols and c in state.columns and dict(batch.dtypes)[c] == "variant":
+            cols.append(F.when(in_s & in_b, set_fields(F.col(f"s.{c}"), F.col(f"b.{c}")))
+                        .when(in_b, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
+        elif c in batch_cols and c in state.columns:
             cols.append(F.when(in_b, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
         elif c in batch_cols:
             cols.append(F.col(f"b.{c}").alias(c))

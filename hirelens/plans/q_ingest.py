@@ -1,7 +1,9 @@
-"""Registered ingest / lifecycle queries."""
+"""Registered ingest / lifecycle queries."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from hirelens import fixtures as X
@@ -9,6 +11,10 @@ from hirelens.fixtures import AS_OF, AS_OF_SQL, HITS_SQL, JOBS_SQL, KEYWORD_LIST
 from hirelens.operators import ingest as I
 from hirelens.operators import lifecycle as L
 from hirelens.plans.catalog import register
+from hirelens.plans.pipeline import run_crawl_day
+from hirelens.session import scratch_path
+from hirelens.sources import snapshots as SN
+from hirelens.streaming.ingest_stream import apply_batch, close_crawl_day
 
 URL_SQL = ("'https://www.104.com.tw/jobs/search/list?keyword=' || coalesce({kw}, '') || '&page=' || CAST({page} AS VARCHAR)"
            " || '&area=' || {area} || '&industry=&jobCat=&exp=&edu=&mode=s&jobsource=index'")
@@ -200,6 +206,203 @@ def q_page_keyword_match(spark, sf):
     return I.page_keyword_match(r, plan).select("keyword", "page_key", "page_block")
 
 
+def _moved_pages(spark, sf):
+    """Pages whose keyword or URL isn't the planned one: foreign or no keyword, URL with a suffix or inside another URL."""
+    page = F.col("page_key")
+    url = F.when(page % 7 == 0, F.concat(F.lit("https://r.example/?to="), "url", F.lit("&x=1"))) \
+        .when(page % 3 == 0, F.concat("url", F.lit("&ref=mail"))).when(page % 11 == 0, F.lit(None)).otherwise(F.col("url"))
+    keyword = F.when(page % 5 == 0, F.lit(None)).when(page % 5 == 1, F.lit("SRE")).otherwise(F.col("keyword"))
+    pages = X.responses_df(spark, sf)
+    plan = pages.where(page % 4 != 0).select("keyword", "crawl_url")
+    return pages.select("page_key", "page_block", F.col("keyword").alias("fetched_for"), keyword.alias("keyword"),
+                        url.alias("url"), "result"), plan
+
+
+MOVED_SQL = """, pages AS (SELECT search_keyword AS fetched_for, page_key, page_block, count(*) AS n FROM hits GROUP BY ALL),
+moved AS (SELECT *, CASE WHEN page_key % 5 = 0 THEN NULL WHEN page_key % 5 = 1 THEN 'SRE' ELSE fetched_for END AS keyword,
+                 page_key % 7 = 0 OR page_key % 3 = 0 OR page_key % 11 <> 0 AS has_url FROM pages),
+plan AS (SELECT DISTINCT fetched_for AS matched_keyword FROM pages WHERE page_key % 4 <> 0 AND fetched_for IS NOT NULL),
+matched AS (
+  SELECT m.*, plan.matched_keyword FROM moved m JOIN plan ON m.keyword = plan.matched_keyword
+  UNION
+  SELECT m.*, fetched_for FROM moved m WHERE has_url AND page_key % 4 <> 0 AND fetched_for IS NOT NULL)
+"""
+
+
+@register("page_keyword_or_url", with_hits(MOVED_SQL + """
+SELECT page_key, page_block, fetched_for, keyword, matched_keyword FROM matched"""))
+def q_page_keyword_or_url(spark, sf):
+    """Pages with a foreign or null keyword, or a longer URL, still belong to the keyword that planned the URL."""
+    pages, plan = _moved_pages(spark, sf)
+    return I.page_keyword_match(pages.drop("result"), plan).select("page_key", "page_block", "fetched_for", "keyword", "matched_keyword")
+
+
+@register("matched_page_hits", with_hits(MOVED_SQL + """
+SELECT matched_keyword, count(*) AS pages, CAST(sum(n) FILTER (WHERE page_key % 29 <> 0) AS BIGINT) AS hits
+FROM matched GROUP BY 1"""))
+def q_matched_page_hits(spark, sf):
+    """J13 -> P21: the postings of a page are tagged with each keyword it belongs to."""
+    pages, plan = _moved_pages(spark, sf)
+    tagged = I.page_keyword_match(pages, plan).withColumn("keyword", F.col("matched_keyword"))
+    n = F.when(I.response_class() == "valid", F.size("result.data.list"))
+    return tagged.groupBy("matched_keyword").agg(F.count(F.lit(1)).alias("pages"), F.sum(n).alias("hits"))
+
+
+def _open_day(spark, sf, day):
+    """Response files of a crawl day whose postings have fields that no code names (their names come from the data)."""
+    pages = X.responses_df(spark, sf).where(I.response_class() == "valid")
+    pages = pages if day == 1 else pages.where(F.col("page_key") % 3 == 0)
+
+    def posting(p):
+        k = F.coalesce(p["jobNo"].cast("long"), F.lit(0))
+        name = p["jobName"] if day == 1 else F.concat(p["jobName"], F.lit(" (day 2)"))
+        text = F.to_json(p.withField("jobName", name))
+        number = k % 7 if day == 1 else F.when(k % 2 == 0, F.lit(100))
+        field = F.concat(F.lit(',"extra_'), k % 5, F.lit('":'), number)
+        late = F.concat(F.lit(',"late_'), k % 3, F.lit('":{"note":"v'), k % 4, F.lit('"}'))
+        more = [field] if day == 1 else [field, late]
+        return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.concat_ws("", *more), F.lit("}"))
+
+    head = F.to_json(F.struct("today", "url", "keyword", "page_key", "page_block", "status"))
+    body = F.array_join(F.transform("result.data.list", posting), ",")
+    path = scratch_path(spark, "responses")
+    pages.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"result":{"data":{"totalPage":1,"list":['),
+                          body, F.lit("]}}}")).alias("value")).write.text(path)
+    return path
+
+
+@register("open_fields_snapshot", with_hits("""
+, d1 AS (SELECT DISTINCT jobNo, jobName, custName, CAST(jobNo AS BIGINT) AS k FROM hits WHERE jobNo IS NOT NULL AND page_key % 29 <> 0),
+d2 AS (SELECT DISTINCT jobNo FROM hits WHERE jobNo IS NOT NULL AND page_key % 29 <> 0 AND page_key % 3 = 0),
+j AS (SELECT d1.*, d2.jobNo IS NOT NULL AS again FROM d1 LEFT JOIN d2 ON d1.jobNo = d2.jobNo)
+SELECT jobNo, CASE WHEN again THEN jobName || ' (day 2)' ELSE jobName END AS jobName, custName,
+       CASE WHEN again THEN 'active' ELSE 'inactive' END AS status,
+       'extra_' || k % 5 || '=' || CASE WHEN again AND k % 2 = 0 THEN 100 ELSE k % 7 END
+       || CASE WHEN again THEN ',late_' || k % 3 || '={"note":"v' || k % 4 || '"}' ELSE '' END AS unnamed
+FROM j"""))
+def q_open_fields_snapshot(spark, sf):
+    """Fields that no code names reach the snapshot, and stay through the next day's upsert unless it sets them."""
+    base = scratch_path(spark, "snapshots")
+    for day in (1, 2):
+        run_crawl_day(spark, _open_day(spark, sf, day), base, AS_OF + dt.timedelta(days=day - 1))
+    named = F.array(*[F.lit(f.name) for f in I.POSTING_TYPE])
+    fields = F.map_entries(F.map_filter(F.variant_get("doc", "$", "map<string,variant>"),
+                                        lambda k, _: ~F.array_contains(named, k)))
+    text = F.transform(fields, lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))
+    return SN.latest_snapshot(spark, base).select("jobNo", "jobName", "custName", "status",
+                                                  F.array_join(F.array_sort(text), ",").alias("unnamed"))
+
+
+ROW = ["jobNo", "jobName", "custName", "coIndustryDesc", "jobDetail", "jobAddrNo", "jobAddrNoDesc", "area_code", "area_name",
+       "appearDate", "salaryDesc", "applyDesc", "periodDesc", "optionEdu", "applyAnalyze", "job", "cust", "city", "district"]
+LIFE = ["status", "delisted_date", "discovery_date", "last_update_date", "crawl_date"]
+
+
+def _crawled_sql(pages, name):
+    """Postings of the valid pages ``pages``, with their keywords in the order in which the pages show them."""
+    return f"""
+{name}_ex AS (SELECT *, row_number() OVER (PARTITION BY search_keyword, page_key, page_block
+                                           ORDER BY ord_line, ord_part, ord_supp, ord_price, ord_okey) AS pos
+              FROM hits WHERE page_key % 29 <> 0 AND {pages}),
+{name}_kw AS (SELECT jobNo, string_agg(search_keyword, '|' ORDER BY o) AS search_keyword
+              FROM (SELECT jobNo, search_keyword, min((page_key, page_block, pos, search_keyword)) AS o
+                    FROM {name}_ex WHERE search_keyword IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+{name} AS (SELECT p.*, coalesce(w.search_keyword, '') AS search_keyword
+           FROM (SELECT DISTINCT * EXCLUDE (search_keyword, ord_line, ord_part, ord_supp, ord_price, ord_okey, page_key, page_block, pos, jobNo_raw),
+                        coalesce(jobAddrNo, '') AS area_code, coalesce(jobAddrNoDesc, '') AS area_name,
+                        {X.sql_city("jobAddrNoDesc")} AS city, {X.sql_district("jobAddrNoDesc")} AS district
+                 FROM {name}_ex WHERE jobNo IS NOT NULL) p LEFT JOIN {name}_kw w USING (jobNo))"""
+
+
+def _crawl_day_sql(batches, closed_by):
+    """Snapshot after ``batches`` (later ones win), delisting what none of them saw, as ``closed_by`` says."""
+    names = [f"b{k}" for k in range(len(batches))]
+    later = names[::-1]
+
+    def pick(c):
+        return "CASE " + " ".join(f"WHEN {b}.jobNo IS NOT NULL THEN {b}.{c}" for b in later) + f" ELSE st.{c} END AS {c}"
+
+    crawled = ", ".join(_crawled_sql(pages, name) for pages, name in zip(batches, names, strict=True))
+    ids = " UNION ".join(f"SELECT jobNo FROM {n}" for n in ["st", *names])
+    joins = " ".join(f"LEFT JOIN {n} ON ids.jobNo = {n}.jobNo" for n in ["st", *names])
+    columns = ", ".join(pick(c) for c in [*ROW[1:], "search_keyword"])
+    return f"""WITH hits AS ({HITS_SQL}), jobs AS ({JOBS_SQL}),
+st AS (SELECT * REPLACE (array_to_string(search_keyword, '|') AS search_keyword) FROM jobs WHERE CAST(jobNo AS BIGINT) % 3 <> 0),
+{crawled}, ids AS ({ids}),
+j AS (SELECT ids.jobNo, {columns}, st.jobNo IS NOT NULL AS in_s, {" OR ".join(f"{n}.jobNo IS NOT NULL" for n in names)} AS in_b,
+             st.status AS s_status, st.delisted_date AS s_del, st.discovery_date AS s_disc, st.last_update_date AS s_upd,
+             st.crawl_date AS s_crawl
+      FROM ids {joins}),
+c AS (SELECT *, in_s AND NOT in_b AND s_status = 'active' AND {closed_by} AS gone FROM j)
+SELECT * EXCLUDE (in_s, in_b, s_status, s_del, s_disc, s_upd, s_crawl, gone),
+       CASE WHEN in_b THEN 'active' WHEN gone THEN 'inactive' ELSE s_status END AS status,
+       CASE WHEN gone THEN strftime({AS_OF_SQL}, '%Y-%m-%d') WHEN in_b AND s_status = 'active' THEN s_del
+            WHEN in_b THEN NULL ELSE s_del END AS delisted_date,
+       CASE WHEN in_s THEN s_disc ELSE {AS_OF_SQL} END AS discovery_date,
+       CASE WHEN in_b OR gone THEN {AS_OF_SQL} ELSE s_upd END AS last_update_date,
+       CASE WHEN in_b THEN {AS_OF_SQL} ELSE s_crawl END AS crawl_date FROM c"""
+
+
+def _stored(spark, sf):
+    """A snapshot folder whose newest version holds two thirds of the postings."""
+    base = scratch_path(spark, "snapshots")
+    SN.write_snapshot(X.jobs_df(spark, sf).where(F.col("jobNo").cast("long") % 3 != 0), SN.next_path(spark, base))
+    return base
+
+
+def _pages_file(spark, sf, where):
+    path = scratch_path(spark, "responses")
+    X.responses_df(spark, sf).where(where).write.json(path)
+    return path
+
+
+def _snapshot_rows(spark, base):
+    return SN.latest_snapshot(spark, base).select(*ROW, *LIFE, F.array_join("search_keyword", "|").alias("search_keyword"))
+
+
+@register("crawl_day_snapshot", _crawl_day_sql(["true"], "(SELECT count(*) FROM b0) > 0"))
+def q_crawl_day_snapshot(spark, sf):
+    """All columns of the next snapshot after ``run_crawl_day``."""
+    base = _stored(spark, sf)
+    run_crawl_day(spark, _pages_file(spark, sf, "true"), base, AS_OF)
+    return _snapshot_rows(spark, base)
+
+
+@register("closed_day_snapshot", _crawl_day_sql(
+    ["page_key % 2 = 0", "page_key % 2 = 1"],
+    f"s_upd < {AS_OF_SQL} AND ((SELECT count(*) FROM b0) + (SELECT count(*) FROM b1) > 0 OR EXISTS (SELECT 1 FROM st WHERE last_update_date = {AS_OF_SQL}))"))
+def q_closed_day_snapshot(spark, sf):
+    """R6 as a stream runs it: two parts of a day upserted, then the day closed; postings that the day updated stay."""
+    base = _stored(spark, sf)
+    for half in (0, 1):
+        pages = spark.read.schema(I.OPEN_RESPONSE_TYPE).json(_pages_file(spark, sf, f"page_key % 2 = {half}"))
+        apply_batch(spark, pages, base, as_of=AS_OF)
+    close_crawl_day(spark, base, AS_OF)
+    return _snapshot_rows(spark, base)
+
+
+@register("existing_status_rows", f"""WITH jobs AS ({JOBS_SQL}) SELECT jobNo, coalesce(status, 'active') AS status FROM jobs""")
+def q_existing_status_rows(spark, sf):
+    return L.existing_statuses(X.jobs_df(spark, sf))
+
+
+@register("crawl_log_rows", with_hits(f"""
+, pages AS (SELECT search_keyword AS keyword, page_key, page_block, count(*) AS n FROM hits GROUP BY ALL)
+SELECT '{AS_OF.isoformat()}' AS today, keyword, {URL_SQL.format(kw='keyword', page='page_block + 1', area='CAST(page_key AS VARCHAR)')} AS first_url,
+       {URL_SQL.format(kw='keyword', page='page_block + 1', area='CAST(page_key AS VARCHAR)')} AS crawl_url,
+       CASE WHEN page_key % 2 = 0 OR page_key % 29 <> 0 THEN 'ok' ELSE 'error' END AS status,
+       CAST(CASE WHEN page_key % 2 = 0 THEN page_block WHEN page_key % 29 <> 0 THEN n END AS INTEGER) AS total_count,
+       CASE WHEN page_key % 2 = 0 THEN 1 ELSE 0 END AS seq
+FROM pages"""))
+def q_crawl_log_rows(spark, sf):
+    """The whole log after a second fetch of the even pages."""
+    r = X.responses_df(spark, sf)
+    again = r.where(F.col("page_key") % 2 == 0).select(
+        "today", "keyword", "first_url", "crawl_url", F.lit("ok").alias("status"),
+        F.col("page_block").cast("int").alias("total_count"), F.lit(1).alias("seq"))
+    return L.crawl_log_upsert(I.crawl_log_from_responses(r, seq=0), again)
+
+
 @register("daily_ingest_batch", f"""
 WITH jobs AS ({JOBS_SQL}), hits AS ({HITS_SQL}),
 st AS (SELECT jobNo, status FROM jobs),
