@@ -3,7 +3,7 @@
 Letters are hashed to a few symbols.  One edit of a word is at most one edit of
 its reduced word, so the full one-edit neighbourhood of each reduced word is
 joined with the reduced vocabulary, and pairs that meet are verified on the
-original strings.  A neighbour is the 64-bit polynomial hash of its symbols: all
+original strings (after a look at their sets of letters, which needs no strings).  A neighbour is the 64-bit polynomial hash of its symbols: all
 of a word's are made from prefix sums, so a word of any length costs its length
 times the number of symbols.  A pair of words is met from one side only: equal
 reduced words from the smaller word, a replaced symbol from the word with the
@@ -78,9 +78,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """word, n: the words with LEAST occurrences or more."""
+    """id, word, n: the words with LEAST occurrences or more, written; ids are any numbers."""
     found = docs.select("doc_id", "text").mapInArrow(_count, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    words = found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return cut(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "vocabulary")
 
 
 def symbol_count(words: int) -> int:
@@ -120,8 +121,8 @@ def neighbours(reduced: np.ndarray, symbols: int) -> Iterator[tuple[np.ndarray,
     yield row, _key(before[row, at] + (whole[row] - before[row, at + 1]) * INVERSE, length - 1), 2
 
 
-def _by_length(batches: Iterator[pa.RecordBatch], symbols: int):
-    """(rows of a batch, their reduced words as a matrix) for words of the same length, in blocks of bounded size."""
+def _by_length(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, code points as a matrix) of words of the same length, in blocks of bounded size."""
     for whole in batches:
         for batch in slices(whole, "word", 1 << 18):
             lengths = np.array([len(w) for w in batch["word"].to_pylist()], np.int64)
@@ -129,44 +130,53 @@ def _by_length(batches: Iterator[pa.RecordBatch], symbols: int):
                 rows = np.flatnonzero(lengths == length)
                 step = max(1, BATCH_KEYS // (length * symbols))
                 for k in range(0, len(rows), step):
-                    part = rows[k:k + step]
-                    text = "".join(batch["word"].take(pa.array(part)).to_pylist())
-                    points = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(part), length)
-                    yield batch, part, symbols_of(points, symbols)
+                    part = batch.take(pa.array(rows[k:k + step]))
+                    text = "".join(part["word"].to_pylist())
+                    yield part["id"], np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(part.num_rows, length)
+
+
+def _letters(points: np.ndarray) -> np.ndarray:
+    """The set of a word's letters in 64 bits; one edit changes two bits at most."""
+    return np.bitwise_or.reduce(np.uint64(1) << (points.astype(np.uint64) & np.uint64(63)), axis=1).view(np.int64)
 
 
 def _own_keys(symbols: int):
-    schema = pa.schema([("key", pa.int64()), ("near", pa.string()), ("near_n", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("near", pa.int64()), ("near_letters", pa.int64())])
 
     def run(batches):
-        for batch, part, reduced in _by_length(batches, symbols):
-            took = batch.take(pa.array(part))
-            yield to_batch(schema, [pa.array(_key(_hashes(reduced)[2], reduced.shape[1])), took["word"], took["n"]])
+        for ids, points in _by_length(batches, symbols):
+            reduced = symbols_of(points, symbols)
+            yield to_batch(schema, [pa.array(_key(_hashes(reduced)[2], reduced.shape[1])), ids, pa.array(_letters(points))])
     return run
 
 
 def _neighbour_keys(symbols: int):
-    schema = pa.schema([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("same", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("letters", pa.int64()), ("same", pa.bool_())])
 
     def run(batches):
-        for batch, part, reduced in _by_length(batches, symbols):
-            for rows, keys, kind in neighbours(reduced, symbols):
-                took = batch.take(pa.array(part[rows]))
-                yield to_batch(schema, [pa.array(keys), took["word"], took["n"], pa.array(np.full(len(keys), kind == 0))])
+        for ids, points in _by_length(batches, symbols):
+            letters = _letters(points)
+            for rows, keys, kind in neighbours(symbols_of(points, symbols), symbols):
+                yield to_batch(schema, [pa.array(keys), ids.take(pa.array(rows)), pa.array(letters[rows]),
+                                        pa.array(np.full(len(keys), kind == 0))])
     return run
 
 
 def near_pairs(vocab: DataFrame, symbols: int) -> DataFrame:
-    """Each unordered pair of near words once: word, n, near, near_n."""
-    asked = vocab.mapInArrow(_neighbour_keys(symbols), "key long, word string, n long, same boolean")
-    held = vocab.mapInArrow(_own_keys(symbols), "key long, near string, near_n long")
-    met = asked.join(held, "key").where(~F.col("same") | (F.col("word") < F.col("near")))
-    near = met.where(F.levenshtein("word", "near", 1) == 1)  # 1 at most is computed, else -1
-    low, high = F.least("word", "near"), F.greatest("word", "near")
-    turned = F.col("word") > F.col("near")
-    return near.select(low.alias("word"), F.when(turned, F.col("near_n")).otherwise(F.col("n")).alias("n"),
-                       high.alias("near"), F.when(turned, F.col("n")).otherwise(F.col("near_n")).alias("near_n")) \
-        .dropDuplicates(["word", "near"])
+    """Each unordered pair of near words once: word, n, near, near_n.  ``vocab`` has word, n and an id.
+
+    Keys are joined without the words (a long word has many neighbours); pairs whose sets of letters differ too
+    much go at once, the others get their words and are verified.
+    """
+    asked = vocab.mapInArrow(_neighbour_keys(symbols), "key long, id long, letters long, same boolean")
+    held = vocab.mapInArrow(_own_keys(symbols), "key long, near long, near_letters long")
+    met = asked.join(held, "key").where((~F.col("same") | (F.col("id") < F.col("near")))
+                                        & (F.bit_count(F.col("letters").bitwiseXOR(F.col("near_letters"))) <= 2))
+    pairs = met.select(F.least("id", "near").alias("id"), F.greatest("id", "near").alias("near_id")).distinct()
+    words = vocab.select("id", "word", "n")
+    others = vocab.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    return pairs.join(words, "id").join(others, "near_id").where(F.levenshtein("word", "near", 1) == 1) \
+        .select("word", "n", "near", "near_n")  # levenshtein over 1 is -1
 
 
 def forms(vocab: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,7 +206,7 @@ def roots(formed: DataFrame) -> DataFrame:
 
 def group_variants(docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of the vocabulary."""
-    vocab = cut(vocabulary(docs), "vocabulary")
+    vocab = vocabulary(docs)
     pairs = near_pairs(vocab, symbol_count(vocab.count()))
     formed = cut(forms(vocab, pairs), "words")
     return formed.join(roots(formed), "word", "left").select(
