@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from hirelens.session import scratch_path
 from hirelens.sources import codes as K
 
@@ -41,3 +43,41 @@ def test_wrapped_and_empty_files(spark):
     assert [tuple(r) for r in wrapped.collect()] == [("A1", "a")]
     for text in ("[]", '{"data": []}', "{}"):
         assert K.load_code_table(spark, _file(spark, text), "area").count() == len(K.BUILTIN["area"])
+
+
+def _adjacent(spark, nodes):
+    return {r.code: tuple(r)[1:] for r in K.flatten_adjacency(nodes).collect()}
+
+
+def test_adjacency_gives_the_nested_tree(spark):
+    nodes = [{"no": "A", "des": "a", "children": [{"no": "A1", "des": "x"}, {"no": "B", "des": "y", "n": [{"no": "Q", "des": "deep"}]}],
+              "n": [{"no": "C", "des": "c", "children": [{"no": "D", "des": "d"}, {"no": "", "des": "no code", "n": [{"no": "E", "des": "e"}]}]}]},
+             {"des": "no code", "children": [{"no": "B", "des": "other"}]}, {"no": "Q", "des": "last"}, {"no": "Z"}]
+    tree = K.read_code_tree(spark, _file(spark, json.dumps(nodes)))
+    nested = {r.code: tuple(r)[1:] for r in K.flatten_code_tree(tree).collect()}
+    assert _adjacent(spark, K.adjacency_of(tree)) == nested
+    assert nested["Q"][0] == "last" and nested["A.B"][0] == "y" and nested["C.D"][0] == "d" and nested["E"][1] == 3
+
+
+def test_adjacency_of_many_nodes_and_levels(spark):
+    chain = [(f"c{k}", f"c{k - 1}" if k else None, "n" if k else None, 0, f"c{k}", "chain") for k in range(60)]
+    wide = [(f"w{k}", "c5", "children", k, f"w{k}", "wide") for k in range(3000)]
+    lost = [("l1", "l2", "n", 0, "l1", "a cycle no root leads to"), ("l2", "l1", "n", 0, "l2", "lost"), ("o", "gone", "n", 0, "o", "orphan")]
+    got = _adjacent(spark, spark.createDataFrame(chain + wide + lost, K.ADJACENCY))
+    assert len(got) == 3060 and got["c59"][1] == 59 and got["c5.w7"][1:5] == (6, True, "c0", True)
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000"
+
+
+def test_adjacency_deeper_than_allowed_is_an_error(spark):
+    chain = [(f"c{k}", f"c{k - 1}" if k else None, "n", 0, f"c{k}", "chain") for k in range(30)]
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        K.flatten_adjacency(spark.createDataFrame(chain, K.ADJACENCY), max_depth=10)
+
+
+def test_adjacency_files_and_empty_tables(spark):
+    path = scratch_path(spark, "nodes")
+    spark.createDataFrame([("1", None, None, 0, "A", "a"), ("2", "1", "children", 0, "B", "b")], K.ADJACENCY).write.json(path)
+    assert {tuple(r) for r in K.load_code_table(spark, path, layout="adjacency").collect()} == {("A", "a"), ("A.B", "b")}
+    empty = scratch_path(spark, "nodes")
+    spark.createDataFrame([], K.ADJACENCY).write.json(empty)
+    assert K.load_code_table(spark, empty, "area", layout="adjacency").count() == len(K.BUILTIN["area"])
