@@ -21,6 +21,7 @@ from hirelens.llm import jaccard_join, mixing, packing, quality_rules, suffix_in
 from hirelens.llm.common import cut, table
 
 ORACLE_SQL = None
+ROW_GROUP = {"parquet.block.size": str(16 << 20)}  # what a task's writer holds of a stage's texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +52,5 @@ STAGES = [("quality_rules", quality), ("jaccard_join", near_duplicates), ("suffi
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}", **ROW_GROUP)
     return STAGES[-1][1](spark, docs, sf_dir)
