@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens import constants as C
+from hirelens.operators.documents import find
 from hirelens.operators.filters import equality_predicate
 
 DATE_LIKE = ("date", "time", "created", "updated", "timestamp")
@@ -111,8 +112,8 @@ def recent_rows(df: DataFrame, n: int = C.RECENT_EXPORT_ROWS, key: str = "jobNo"
 
 
 def doc_scan(df: DataFrame, filters: dict | None = None, limit: int = 0) -> DataFrame:
-    """Filter document rows; ``limit=0`` means unlimited."""
-    return _filtered(df, filters, limit if limit and limit > 0 else None)
+    """Rows that match a filter document (``hirelens.operators.documents``); ``limit=0`` means unlimited."""
+    return find(df, filters, limit)
 
 
 def save_run_files(df: DataFrame, base_path: str, run_stamp: str) -> dict:
