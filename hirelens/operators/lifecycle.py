@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens import constants as C
+from hirelens.operators.day_state import FIELDS
 from hirelens.operators.ingest import set_fields
 
 STATE_ONLY = ("status", "delisted_date", "discovery_date", "last_update_date")
@@ -41,13 +42,14 @@ def existing_statuses(state: DataFrame) -> DataFrame:
 
 
 def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True,
-                  nonempty: Column | None = None) -> DataFrame:
+                  nonempty: Column | None = None, keep_old: bool = False) -> DataFrame:
     """Next snapshot from the stored state and today's posting batch.
 
     Adds ``change`` = new | kept | reactivated | delisted | untouched.
     ``delist=False`` gives the plain upsert (S9) without L1.  ``nonempty`` says
     whether the crawl found anything (guard of L1); by default the batch is
-    asked, which builds it a second time.
+    asked, which builds it a second time.  ``keep_old`` adds ``old``, the stored
+    posting's fields that day figures depend on (null for a new posting).
     """
     today = _lit_date(as_of)
     today_txt = F.date_format(today, "yyyy-MM-dd")
@@ -85,7 +87,9 @@ def sync_snapshot(state: DataFrame, batch: DataFrame, as_of, delist: bool = True
     s_delisted = F.col("s.delisted_date") if "delisted_date" in has else F.lit(None).cast("string")
     s_disc = F.col("s.discovery_date") if "discovery_date" in has else F.lit(None).cast("date")
     s_upd = F.col("s.last_update_date") if "last_update_date" in has else F.lit(None).cast("date")
-    out = j.select(*cols, change.alias("change"), s_status.alias("_s_status"),
+    old = [F.when(in_s, F.struct(*[(F.col(f"s.{c}") if c in has else F.lit(None)).cast("string").alias(c)
+                                   for c in FIELDS])).alias("old")] if keep_old else []
+    out = j.select(*cols, *old, change.alias("change"), s_status.alias("_s_status"),
                    s_delisted.alias("_s_delisted"), s_disc.alias("_s_disc"), s_upd.alias("_s_upd"))
     return out.select(
         *[F.col(c) for c in out.columns if not c.startswith("_") and c != "change"],

@@ -55,7 +55,11 @@ def daily_job_changes(jobs: DataFrame, date_column: str = "appearDate",
     delisted day; new / removed per day (0-filled), running total (W1) and
     first differences (W2).
     """
-    days = day_counts(jobs, date_column, date_format)
+    return fill_days(day_counts(jobs, date_column, date_format))
+
+
+def fill_days(days: DataFrame) -> DataFrame:
+    """A3 from the counts of the days present in the data (date, new_jobs, removed_jobs)."""
     w = Window.orderBy("date")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # the postings are read once: each present day also yields the absent days up to the next present one
