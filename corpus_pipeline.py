@@ -21,27 +21,41 @@ from hirelens.llm import jaccard_join, mixing, packing, quality_rules, suffix_in
 from hirelens.llm.common import cut, table
 
 ORACLE_SQL = None
+#: Texts are long: batches of fewer rows than Spark's defaults, (default, here), for what tasks hold of them at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 1000), "spark.sql.parquet.columnarReaderBatchSize": (4096, 512)}
 ROW_GROUP = {"parquet.block.size": str(16 << 20)}  # what a task's writer holds of a stage's texts
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Set BATCHES on the session where it has Spark's defaults."""
+    for name, (default, rows) in BATCHES.items():
+        if int(spark.conf.get(name, str(default))) == default:
+            spark.conf.set(name, str(rows))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return quality_rules.filter_documents(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return jaccard_join.drop_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     left = suffix_index.remove_repeats(docs)
     return left.withColumn("n_chars", F.char_length("text").cast(left.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return mixing.mix(docs, mixing.production_plan(budget_share=1000)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.op8_query(docs)
 
 
