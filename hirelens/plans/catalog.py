@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all():
     # Importing the modules fills the registry.
-    from hirelens.plans import q_trends, q_distribution, q_filters, q_ingest, q_codes, q_day_state, q_documents, q_io, q_partial, q_reports  # noqa: F401
+    from hirelens.plans import q_trends, q_distribution, q_filters, q_ingest, q_codes, q_day_state, q_documents, q_gram_index, q_io, q_partial, q_reports, q_stream  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
