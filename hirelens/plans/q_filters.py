@@ -12,6 +12,7 @@ from hirelens.operators import filters as FL
 from hirelens.operators import dimensions as DM
 from hirelens.plans import sqlfrag as S
 from hirelens.plans.catalog import register
+from hirelens.session import scratch_path
 
 ANALYSIS_COLS = ["job_no", "job_name", "company_name", "city", "district", "keywords", "link", "apply_desc",
                  "salary_desc", "experience", "education", "industry", "status", "delisted_date",
@@ -156,6 +157,58 @@ def q_district_union(spark, sf):
     return DM.all_districts(DM.districts_from_postings(X.jobs_df(spark, sf)))
 
 
+def _given_districts(spark, sf):
+    """A dimension file: the districts of all cities but one, and one more for each that no posting has."""
+    seen = DM.districts_from_postings(X.jobs_df(spark, sf)).where("city <> '新北市'")
+    lists = DM.districts_by_city(seen).select("city", F.concat("districts", F.array(F.concat("city", F.lit("東")))).alias("districts"))
+    path = scratch_path(spark, "districts")
+    lists.select(F.to_json(F.map_from_arrays(F.array("city"), F.array("districts"))).alias("value")).write.text(path)
+    return DM.read_city_districts(spark, path, lines=True)
+
+
+GIVEN_SQL = """, seen AS (SELECT DISTINCT city, district FROM jobs
+           WHERE city IS NOT NULL AND city NOT IN ('', '新北市') AND district IS NOT NULL AND district <> ''),
+dim AS (SELECT * FROM seen UNION SELECT city, city || '東' FROM seen)
+"""
+
+
+@register("location_choices", with_jobs(GIVEN_SQL + """
+SELECT city, array_to_string(list_sort(list(DISTINCT district)), '|') AS districts
+FROM (SELECT * FROM dim UNION ALL SELECT '全部城市', district FROM dim) GROUP BY 1"""))
+def q_location_choices(spark, sf):
+    """U4 from a given file, with the entry for all cities."""
+    return DM.location_choices(_given_districts(spark, sf)).select("city", F.array_join("districts", "|").alias("districts"))
+
+
+@register("postings_by_location", with_jobs(GIVEN_SQL + """
+, n AS (SELECT city, NULLIF(district, '') AS district, count(*) AS n FROM jobs WHERE city IS NOT NULL AND city <> '' GROUP BY 1, 2),
+places AS (SELECT * FROM dim UNION SELECT city, NULL FROM dim)
+SELECT coalesce(places.city, n.city) AS city, coalesce(places.district, n.district) AS district, places.city IS NOT NULL AS known,
+       coalesce(n.n, 0) AS job_count
+FROM places FULL OUTER JOIN n ON places.city = n.city AND places.district IS NOT DISTINCT FROM n.district"""))
+def q_postings_by_location(spark, sf):
+    """U4 joined to the postings; cities and districts that the file lacks are kept."""
+    return DM.postings_by_location(X.jobs_df(spark, sf), _given_districts(spark, sf))
+
+
+@register("report_columns", with_jobs("""
+, c AS (SELECT jobNo, coIndustryDesc, salaryDesc FROM jobs)
+SELECT 'industry' AS page, true AS complete, '' AS missing, count(coIndustryDesc) AS usable FROM c
+UNION ALL SELECT 'salary', true, '', count(salaryDesc) FROM c
+UNION ALL SELECT 'location', false, 'city|district', 0"""))
+def q_report_columns(spark, sf):
+    """P10: which pages a table without the place columns can feed, and with how many postings."""
+    jobs = X.jobs_df(spark, sf).drop("city", "district")
+    needs = {"industry": ["coIndustryDesc"], "salary": ["salaryDesc"], "location": ["city", "district"]}
+    rows = []
+    for page, columns in needs.items():
+        lacks = FL.missing_columns(jobs, columns)
+        usable = F.lit(0).cast("long") if lacks else F.count(F.col(columns[0]))
+        rows.append(F.struct(F.lit(page).alias("page"), F.lit(not lacks).alias("complete"), F.lit("|".join(lacks)).alias("missing"),
+                             usable.alias("usable")))
+    return jobs.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 @register("dashboard_base", with_jobs(f"""
 SELECT jobNo, appearDate, city, array_to_string(search_keyword, '|') AS search_keyword FROM jobs
 WHERE status = 'active' AND CAST(strptime(appearDate, '%Y%m%d') AS DATE) >= {AS_OF_SQL} - 720

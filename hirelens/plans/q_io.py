@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hirelens import fixtures as X
@@ -142,6 +144,33 @@ def q_recent_50_json(spark, sf):
     return _row(spark.read.schema(newest.schema).json(path))
 
 
+@register("table_recent_50", with_jobs(f"""
+SELECT {ROW_SQL} FROM jobs ORDER BY last_update_date DESC NULLS LAST, jobNo DESC LIMIT 50"""))
+def q_table_recent_50(spark, sf):
+    """S7 + S16: by table name; the catalog's columns tell what to sort by (here the update date comes first)."""
+    jobs, name = X.jobs_df(spark, sf), f"news_jobs_{uuid.uuid4().hex}"
+    first = ["jobNo", "last_update_date"]
+    jobs.select(*first, *[c for c in jobs.columns if c not in first]).write \
+        .option("path", scratch_path(spark, "news-jobs-table")).saveAsTable(name)
+    path = scratch_path(spark, "recent")
+    try:
+        IO.export_recent_table(spark, name, path)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    return _row(spark.read.schema(jobs.schema).json(path))
+
+
+@register("csv_inferred", with_jobs(f"""
+SELECT CAST(jobNo AS INTEGER) AS jobNo, NULLIF(jobName, '') AS jobName, NULLIF(city, '') AS city, CAST(appearDate AS INTEGER) AS appearDate,
+       crawl_date, TRY_CAST(jobNo AS BIGINT) % 2 = 0 AS even, CAST(jobNo AS DOUBLE) / 4 AS quarter FROM jobs"""))
+def q_csv_inferred(spark, sf):
+    """S3: a CSV table read with inferred types (integer, text, date, boolean, double)."""
+    k, path = F.col("jobNo").cast("long"), scratch_path(spark, "inferred-csv")
+    rows = X.jobs_df(spark, sf).select("jobNo", "jobName", "city", "appearDate", "crawl_date", (k % 2 == 0).alias("even"), (k / 4).alias("quarter"))
+    IO.export_csv(rows, path)
+    return IO.read_csv(spark, path) if not rows.isEmpty() else rows
+
+
 @register("recent_50", with_jobs("""
 SELECT jobNo, appearDate FROM jobs ORDER BY appearDate DESC NULLS LAST, jobNo DESC LIMIT 50"""))
 def q_recent_50(spark, sf):

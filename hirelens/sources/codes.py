@@ -26,7 +26,7 @@ NODE = "no string, des string, n string, children string"
 
 def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
     """Root nodes of code-table files: a JSON array of nodes, or an object that holds it as ``data``."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     plain = F.from_json("value", f"array<struct<{NODE.replace(' ', ':')}>>".replace(",:", ","))
     wrapped = F.from_json("value", f"struct<data:array<struct<{NODE.replace(' ', ':')}>>>".replace(",:", ","))
     roots = F.when(F.ltrim("value").startswith("{"), wrapped["data"]).otherwise(plain)

@@ -131,6 +131,22 @@ def file_store_get(df: DataFrame, job_no: str | None = None, limit: int = 100) -
     return df.orderBy("jobNo").limit(limit)
 
 
+def date_like_column(spark: SparkSession, table: str, key: str = "jobNo") -> str:
+    """The first column of a catalog table whose name looks like a date, else ``key``; no job runs."""
+    names = [c.name for c in spark.catalog.listColumns(table)]
+    return next((c for c in names if any(t in c.lower() for t in DATE_LIKE)), key)
+
+
+def export_recent_table(spark: SparkSession, table: str, path: str, n: int = C.RECENT_EXPORT_ROWS, key: str = "jobNo") -> bool:
+    """S7 + S16: the newest ``n`` rows of a catalog table as JSON; False, and nothing written, if there is no such table."""
+    if not table_exists(spark, table):
+        return False
+    by = date_like_column(spark, table, key)
+    order = [F.col(by).desc_nulls_last(), *([F.col(key).desc_nulls_last()] if by != key else [])]
+    export_json(spark.table(table).orderBy(*order).limit(n), path)
+    return True
+
+
 def table_columns(df: DataFrame) -> list[str]:
     """Column introspection (schema only, no job)."""
     return list(df.columns)

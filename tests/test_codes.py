@@ -81,3 +81,9 @@ def test_adjacency_files_and_empty_tables(spark):
     empty = scratch_path(spark, "nodes")
     spark.createDataFrame([], K.ADJACENCY).write.json(empty)
     assert K.load_code_table(spark, empty, "area", layout="adjacency").count() == len(K.BUILTIN["area"])
+
+
+def test_a_file_of_many_lines_is_one_tree(spark):
+    nodes = [{"no": "A", "des": "a", "n": [{"no": "B", "des": "b"}]}]
+    tree = K.read_code_tree(spark, _file(spark, json.dumps(nodes, indent=2)))
+    assert {r.code for r in K.flatten_code_tree(tree).collect()} == {"A", "B"}
