@@ -55,6 +55,15 @@ def test_quality_base_rules_and_verdict(spark, sf, docs):
     assert left.count() == sum(g.kept for g in got)
 
 
+def test_quality_toxic_rows_are_not_trusted(spark):
+    rows = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, 1, 1), (6, None, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    found = quality_rules.label_sample(labels, 100)
+    assert dict(zip(found.ids.tolist(), found.trusted.tolist())) == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
+    plain = quality_rules.label_sample(labels.drop("toxic"), 100)  # labels without that column
+    assert plain.trusted[plain.ids == 2].all()
+
+
 def test_quality_weights_are_a_log_ratio(spark):
     docs = spark.createDataFrame([(1, "good words here"), (2, "bad $$$ stuff"), (3, "good words there")],
                                  "doc_id long, text string")

@@ -235,3 +235,20 @@ def test_pipeline(spark, sf, odd_docs):
         path = scratch_path(spark, "odd")
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
+
+
+def test_pipeline_batches_are_set_where_the_session_has_defaults(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = {n: spark.conf.get(n, str(d)) for n, (d, _) in corpus_pipeline.BATCHES.items()}
+    try:
+        for n, (default, _) in corpus_pipeline.BATCHES.items():
+            spark.conf.set(n, str(default))
+        spark.conf.set(name, "777")
+        corpus_pipeline._small_batches(spark)
+        found = {n: int(spark.conf.get(n)) for n in corpus_pipeline.BATCHES}
+        assert found == {n: rows for n, (_, rows) in corpus_pipeline.BATCHES.items()} | {name: 777}
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
