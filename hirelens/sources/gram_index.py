@@ -1,15 +1,17 @@
 """P4 / P5 on an index: postings whose text contains every keyword, found through three-character grams.
 
 ``write_indexed`` stores the postings in ``parts`` partitions by a hash of their
-row number, and beside them one row per (field, gram, posting), range-partitioned
+row number, and beside them posting lists: one row per (field, gram, batch of
+postings) with the numbers of the batch's postings that have the gram, range-partitioned
 and sorted by gram, so that a lookup reads the row groups of its grams only.  A
 text gives a gram for each of its characters (two pad characters follow its end),
-so a keyword of one or two characters is the beginning of some gram.
+so a keyword of one or two characters is the beginning of some gram.  Lists are
+made per Arrow batch, so they are bounded, and few rows are sorted and moved.
 
 ``find_containing`` reads the postings of a keyword's grams and keeps those that
 have all of them; these are candidates, whose partitions alone are then read and
 whose texts are verified.  It gives the same rows as the scan for any keyword.
-A common gram is spread over several tasks by its postings' numbers, and counted
+A common gram is spread over several tasks by its lists' first numbers, and counted
 per posting with partial aggregation.
 """
 
@@ -17,12 +19,16 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.functions import parsing as P
 from hirelens.operators.filters import keyword_text_fallback
+from hirelens.session import scratch_path
 
 GRAM = 3
 PAD = "\u0000"
@@ -34,27 +40,65 @@ def field_texts(jobs: DataFrame) -> dict[str, Column]:
     return {"keywords": P.keywords_text("search_keyword"), "text": keyword_text_fallback(jobs)}
 
 
-def _grams(text: Column) -> Column:
-    places = F.sequence(F.lit(1), F.length(text))
-    padded = F.concat(text, F.lit(PAD * (GRAM - 1)))
-    return F.when(F.length(text) > 0, F.array_distinct(F.transform(places, lambda at: F.substring(padded, at, F.lit(GRAM)))))
+def _gram_lists(texts: list[str | None], rows: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+    """The grams of some rows' texts, and the numbers of the rows that have each."""
+    held = [(t + PAD * (GRAM - 1), r) for t, r in zip(texts, rows, strict=True) if t]
+    if not held:
+        return [], []
+    codes = np.frombuffer("".join(t for t, _ in held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t, _ in held])
+    owner = np.repeat(np.arange(len(held)), sizes)
+    start = np.flatnonzero(np.arange(len(codes)) < np.repeat(np.cumsum(sizes) - (GRAM - 1), sizes))  # a gram for each own character
+    key = np.zeros(len(start), np.uint64)
+    for k in range(GRAM):
+        key = key << np.uint64(21) | codes[start + k]
+    found, key = np.unique(key, return_inverse=True)
+    pairs = np.unique(key.astype(np.int64) * len(held) + owner[start])
+    gram, at = pairs // len(held), pairs % len(held)
+    numbers = np.array([r for _, r in held], np.int64)[at]
+    mask = np.uint64((1 << 21) - 1)
+    names = ["".join(chr(int(g >> np.uint64(21 * k) & mask)) for k in reversed(range(GRAM))) for g in found]
+    return names, np.split(numbers, np.flatnonzero(np.diff(gram)) + 1)
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    """field, gram, part, rows: the posting lists of each batch of stored rows."""
+    schema = pa.schema([("field", pa.string()), ("gram", pa.string()), ("part", pa.int32()), ("rows", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, parts = batch["_row"].to_numpy(), batch["_part"].to_numpy()
+            for name in FIELDS:
+                texts = [None if t is None else t.decode("utf-8", "replace") for t in batch[name].cast(pa.binary()).to_pylist()]
+                for part in np.unique(parts):
+                    own = np.flatnonzero(parts == part)
+                    names, lists = _gram_lists([texts[k] for k in own], numbers[own])
+                    if not names:
+                        continue
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * len(names), pa.string()), pa.array(names, pa.string()),
+                        pa.array(np.full(len(names), part, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists), pa.int64()))], schema=schema)
 
+    texts = field_texts(rows)
+    return rows.select("_row", "_part", *[texts[name].alias(name) for name in FIELDS]).mapInArrow(
+        run, "field string, gram string, part int, rows array<bigint>")
+
+
+def write_indexed(jobs: DataFrame, base: str, parts: int = 64, index_tasks: int | None = None) -> None:
+    """Store ``jobs`` and the gram index of their texts under ``base``; extra columns go along.
 
-def write_indexed(jobs: DataFrame, base: str, parts: int = 64, index_tasks: int = 32) -> None:
-    """Store ``jobs`` and the gram index of their texts under ``base``; extra columns go along."""
+    ``index_tasks`` fixes the number of index files; by default the size of the index decides.
+    """
     spark = jobs.sparkSession
     numbered = jobs.withColumn("_row", F.monotonically_increasing_id()) \
         .withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int"))
     numbered.repartition(parts, "_part").write.partitionBy("_part").parquet(f"{base}/rows")
-    rows = _rows(spark, base, jobs)
-    texts = field_texts(rows)
-    found = None
-    for name in FIELDS:
-        own = rows.select(F.lit(name).alias("field"), F.explode(_grams(texts[name])).alias("gram"), F.col("_row").alias("row"),
-                          F.col("_part").alias("part"))
-        found = own if found is None else found.unionByName(own)
-    found.repartitionByRange(index_tasks, "field", "gram", "row").sortWithinPartitions("field", "gram", "row") \
-        .write.option("parquet.block.size", 4 << 20).parquet(f"{base}/grams")
+    found = _lists(_rows(spark, base, jobs)).withColumn("row", F.col("rows")[0])
+    by = ["field", "gram", "row"]
+    spread = found.repartitionByRange(index_tasks, *by) if index_tasks else found.repartitionByRange(*by)
+    spread.sortWithinPartitions(*by).write.option("parquet.block.size", 4 << 20).parquet(f"{base}/grams")
 
 
 def _rows(spark: SparkSession, base: str, like: DataFrame) -> DataFrame:
@@ -75,7 +119,8 @@ def candidates(grams: DataFrame, field: str, keywords: list[str]) -> DataFrame:
     hits = grams.where((F.col("field") == field) & functools.reduce(operator.or_, conditions))
     met = [F.max(c.cast("int")).alias(f"c{k}") for k, c in enumerate(conditions)]
     every = functools.reduce(operator.and_, [F.col(f"c{k}") == 1 for k in range(len(conditions))])
-    return hits.groupBy("row", "part").agg(*met).where(every).select("row", "part")
+    rows = hits.select("gram", "part", F.explode("rows").alias("row"))
+    return rows.groupBy("row", "part").agg(*met).where(every).select("row", "part")
 
 
 def find_containing(spark: SparkSession, base: str, like: DataFrame, keywords: list[str], field: str = "keywords") -> DataFrame:
@@ -87,8 +132,10 @@ def find_containing(spark: SparkSession, base: str, like: DataFrame, keywords: l
     rows = _rows(spark, base, like)
     if not kws:
         return rows.select(*like.columns)
-    grams = spark.read.schema("field string, gram string, row bigint, part int").parquet(f"{base}/grams")
-    found = candidates(grams, field, kws)
+    grams = spark.read.schema("field string, gram string, part int, rows array<bigint>").parquet(f"{base}/grams")
+    path = scratch_path(spark, "candidates")
+    candidates(grams, field, kws).write.parquet(path)  # read twice
+    found = spark.read.schema("row bigint, part int").parquet(path)
     parts = [r.part for r in found.select("part").distinct().collect()]  # as many as there are partitions at most
     rows = rows.where(F.col("_part").isin(parts) if parts else F.lit(False)).join(
         found.select(F.col("row").alias("_row")), "_row", "left_semi")

@@ -64,3 +64,11 @@ def test_planned_urls_with_many_ends(spark):
     want = {(p, f"w{k}") for p in (r.url for r in pages.collect()) if p for k, u in enumerate(urls) if u in p}
     want |= {(p, "bare") for p in (r.url for r in pages.collect()) if p and "h/7/" in p} | {("no mark", "w1")}
     assert got == want
+
+
+def test_the_index_moves_lists_not_postings(spark):
+    from hirelens.sources import gram_index as G
+    jobs, base = X.jobs_df(spark, SF), scratch_path(spark, "lists")
+    G.write_indexed(jobs, base, parts=2)
+    grams = spark.read.parquet(f"{base}/grams")
+    assert grams.count() * 4 < grams.agg(F.sum(F.size("rows"))).first()[0]
