@@ -2,15 +2,14 @@
 
 The features of a text are its byte ``n``-grams (words joined by single blanks, a
 blank before and after), hashed to 2**BITS buckets.  Two multinomials are
-counted: ``raw`` over all documents, ``target`` over trusted ones.  The model is
-fitted on a bounded sample of labelled documents (``sample``, those first by a
-hash of doc_id), whose ids all tasks hold; everything else covers all rows.  A
+counted: ``raw`` over all documents, ``target`` over all trusted ones, which a
+join of documents and labels finds.  A
 bucket's weight is log((target + a) / (target total + a * buckets)) minus the
 same for raw, kept as a whole number of 2**-20, so a document's sum is exact
 and does not depend on the order of summation.  A document's score is the sum
 over its n-grams divided by their number.
 
-The threshold is found once, from the scores of the labelled sample counted in
+The threshold is found once, from the scores of all labelled documents counted in
 BINS fixed bins: among the cuts that keep at least ``keep`` of the trusted
 documents, the one that rejects most of the others, in the middle where several
 do the same.  Without labels of both kinds the threshold is minus infinity, and
@@ -122,11 +121,17 @@ class Labels:
         return np.where(found, self.trusted[at], -1)
 
 
-def label_sample(labels: DataFrame, sample: int) -> Labels:
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, trusted: a row per labelled document."""
     good = F.coalesce(F.col("quality") == 1, F.lit(False))
     if "toxic" in labels.columns:
         good = good & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("trusted"))
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("trusted"))
+
+
+def label_sample(labels: DataFrame, sample: int) -> Labels:
+    """The labels of at most ``sample`` documents, for a look at them; ``fit`` uses all."""
+    known = known_labels(labels)
     total = known.count()
     if total > sample:  # a little less than the bound, so that the hash's spread stays below it
         place = F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) / (1 << 30)
@@ -138,8 +143,16 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def count_grams(docs: DataFrame, labels: Labels) -> DataFrame:
-    """bucket, raw, target: sums over all documents and over the sample's trusted ones, a row per bucket."""
+def count_grams(docs: DataFrame, labels: Labels | DataFrame) -> DataFrame:
+    """bucket, raw, target: sums over all documents and over the trusted ones, a row per bucket.
+
+    ``labels`` is a frame of ``known_labels`` of any size, or a few labels that the tasks hold.
+    """
+    if isinstance(labels, DataFrame):
+        nothing, trusted = Labels({}), labels.where("trusted").select("doc_id")
+        both = count_grams(docs, nothing).unionByName(count_grams(_own(docs).join(trusted, "doc_id", "left_semi"), nothing).select(
+            "bucket", F.lit(0).cast("long").alias("raw"), F.col("raw").alias("target")))
+        return both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +190,18 @@ def _bin(value: float) -> int:
     return min(BINS - 1, max(0, math.floor((value + SPAN) * BINS / (2 * SPAN))))
 
 
-def threshold(docs: DataFrame, labels: Labels, table: np.ndarray, keep: float) -> float:
-    """The lower edge of the best bin, from the scores of the labelled sample."""
-    schema = pa.schema([("bin", pa.int32()), ("good", pa.int64()), ("bad", pa.int64())])
+def threshold(docs: DataFrame, known: DataFrame, table: np.ndarray, keep: float) -> float:
+    """The lower edge of the best bin, from the scores of all labelled documents; only ids and bins meet the labels."""
+    schema = pa.schema([("doc_id", pa.int64()), ("bin", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((BINS, 2), np.int64)
         for part in _texts(batches):
-            label = labels.of(part["doc_id"])
-            for raw, trusted in zip(_raw(part.filter(pa.array(label >= 0))), label[label >= 0], strict=True):
-                if words := raw.split():
-                    n[_bin(score(raw, table, words)), 0 if trusted else 1] += 1
-        used = np.flatnonzero(n.any(1))
-        yield to_batch(schema, [pa.array(used, pa.int32()), pa.array(n[used, 0], pa.int64()),
-                                pa.array(n[used, 1], pa.int64())])
-
-    sums = _own(docs).mapInArrow(run, "bin int, good long, bad long").groupBy("bin") \
-        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+            words = [raw.split() for raw in _raw(part)]
+            bins = [_bin(score(b"", table, w)) if w else None for w in words]
+            yield to_batch(schema, [part["doc_id"], bins])
+
+    sums = _own(docs).mapInArrow(run, "doc_id long, bin int").where("bin is not null").join(known, "doc_id").groupBy("bin") \
+        .agg(F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("bad")).collect()
     n = np.zeros((BINS + 1, 2), np.int64)
     for r in sums:
         n[r.bin + 1] = r.good, r.bad
@@ -221,9 +229,9 @@ class Model:
         return *found, failed, not failed and value >= self.least, value
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.995, sample: int = 50_000) -> Model:
-    """Counts over all documents; target and threshold from at most ``sample`` labelled ones."""
-    known = label_sample(labels.select(*[c for c in ("doc_id", "quality", "toxic") if c in labels.columns]), sample)
+def fit(docs: DataFrame, labels: DataFrame, keep: float = 0.995) -> Model:
+    """Counts over all documents; target and threshold from all labelled ones."""
+    known = known_labels(labels)
     table = weights(count_grams(docs, known))
     return Model(table, threshold(docs, known, table, keep))
 
