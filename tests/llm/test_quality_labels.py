@@ -23,3 +23,10 @@ def test_labels_of_repeated_and_missing_ids(spark):
     counts = quality_rules.count_grams(docs, quality_rules.known_labels(labels)).selectExpr("sum(raw) AS raw", "sum(target) AS target").first()
     per = [len(quality_rules.grams(t.encode().split())) for t in (BAD, GOOD)]
     assert (counts.raw, counts.target) == (per[0] + 3 * per[1], 2 * per[1])
+
+
+def test_few_labels_take_the_join_of_many(spark):
+    docs = spark.createDataFrame([(1, GOOD), (2, BAD)], "doc_id long, text string")
+    known = quality_rules.known_labels(spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    plan = quality_rules.count_grams(docs, known)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
