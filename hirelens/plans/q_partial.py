@@ -85,8 +85,9 @@ def q_partial_upsert_buckets(spark, sf):
 
 def _changed_snapshot(spark, sf):
     """A published version of all postings, and a later snapshot in which the postings of the last three days changed."""
-    jobs, base, snap = X.jobs_df(spark, sf), scratch_path(spark, "published"), scratch_path(spark, "snapshot")
-    publish_news_jobs(spark, _stored(spark, jobs), base, as_of=AS_OF, version="1")
+    first, base, snap = _stored(spark, X.jobs_df(spark, sf)), scratch_path(spark, "published"), scratch_path(spark, "snapshot")
+    publish_news_jobs(spark, first, base, as_of=AS_OF, version="1")
+    jobs = read_parquet(spark, first, schema=X.jobs_df(spark, sf).schema)  # derived once, like the day's snapshot that it stands for
     k = F.col("jobNo").cast("long")
     SN.write_snapshot(jobs.withColumns({
         "jobName": F.concat("jobName", F.lit(" (new)")),
