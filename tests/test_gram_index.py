@@ -1,5 +1,6 @@
 """The keyword index gives the scan's rows for any keyword, and reads a part of the files."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,59 @@ def test_empty(spark, stored):
     base, jobs = scratch_path(spark, "grams"), stored[1].limit(0)
     G.write_indexed(jobs, base, parts=4)
     assert G.find_containing(spark, base, jobs, ["a"]).count() == 0 and G.find_containing(spark, base, jobs, []).count() == 0
+
+
+@pytest.fixture(scope="module")
+def blocks(spark):
+    """Postings of two tasks, each of more than one block, indexed as the queries do."""
+    jobs = spark.range(0, 70_000, numPartitions=2).select(
+        F.col("id").cast("string").alias("jobNo"), F.concat(F.lit("Role-"), (F.col("id") % 40).cast("string")).alias("jobName"),
+        F.when(F.col("id") % 3 > 0, F.lit("x")).alias("jobDetail"), F.concat(F.lit("C#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("custName"),
+        F.when(F.col("id") % 7 > 0, F.array(F.lit("Python"), F.when(F.col("id") % 5 > 0, F.lit("Go")))).alias("search_keyword"))
+    base = scratch_path(spark, "blocks")
+    G.write_indexed(jobs, base)
+    return base, jobs
+
+
+@pytest.mark.parametrize("keywords", [["#000034567"], ["role-1 x", "69"], ["-7"], ["n go"], ["role-4 "], ["e-39", "39999"], ["zz"]], ids=str)
+def test_same_rows_in_many_blocks(spark, blocks, keywords):
+    base, jobs = blocks
+    for field, scan in (("keywords", FL.keyword_filter), ("text", FL.keyword_filter_text)):
+        got = sorted(r.jobNo for r in G.find_containing(spark, base, jobs, keywords, field).select("jobNo").collect())
+        assert got == sorted(r.jobNo for r in scan(jobs, keywords).select("jobNo").collect()), field
+
+
+def test_postings_and_lists_stay_with_their_task(spark, blocks):
+    base, jobs = blocks
+    stored = G._rows(spark, base, jobs).select(F.shiftright("_row", 15).alias("block"), F.input_file_name().alias("file"))
+    lists = spark.read.parquet(f"{base}/grams").select("block", F.input_file_name().alias("file"))
+    for rows in (stored, lists):
+        files = [r.files for r in rows.groupBy("block").agg(F.countDistinct("file").alias("files")).collect()]
+        assert files == [1] * 4
+
+
+def test_candidates_are_masks(spark, blocks):
+    grams = spark.read.parquet(f"{blocks[0]}/grams")
+    found = G.candidates(grams, "text", ["role-"])
+    assert found.count() <= 70_000 // 64 + 4
+    assert found.agg(F.sum(F.bit_count("mask"))).first()[0] == 70_000
+
+
+def test_texts_of_very_many_characters():
+    known = [c for c in range(0x20, 0x40000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, known[k::3000])) for k in range(3000)] + [None, "", "a", "aaaa"]
+    places = np.arange(len(texts), dtype=np.int16)[::-1]
+    want = {(t + G.PAD * 2)[k:k + 3] for t in texts if t for k in range(len(t))}
+    got = {}
+    for names, ends, lists in G._gram_lists(texts, places):
+        for name, own in zip(names, np.split(lists, ends[:-1]), strict=True):
+            got.setdefault(name, []).extend(own.tolist())
+    assert set(got) == want
+    assert got["aaa"] == [0] and sorted(got["aa" + G.PAD]) == [0] and sorted(got["a" + G.PAD * 2]) == [0, 1]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(G, "CHARACTERS", 10, raising=False)
+    parts = list(G._gram_lists(["abcdefgh", "abcd", None, "abc"], np.array([5, 6, 7, 8], np.int16)))
+    assert len(parts) > 1
+    assert sorted(p for names, ends, lists in parts for n, own in zip(names, np.split(lists, ends[:-1]), strict=True) if n == "abc" for p in own) == [5, 6, 8]
