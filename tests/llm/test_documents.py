@@ -84,9 +84,12 @@ def test_quality_weights_are_a_log_ratio(spark):
 def test_quality_separates_labelled_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    rows = quality_rules.op2_query(docs, labels).where("not base_failed").join(labels, "doc_id").collect()
+    rows = quality_rules.op2_query(docs, labels.drop("toxic")).where("not base_failed").join(labels, "doc_id").collect()
     assert all(r.kept for r in rows if r.quality == 1)
     assert not any(r.kept for r in rows if r.quality == 0)
+    rows = quality_rules.op2_query(docs, labels).where("not base_failed").join(labels, "doc_id").collect()
+    assert all(r.kept for r in rows if r.quality == 1 and r.toxic == 0)  # toxic ones are not trusted
+    assert not any(r.kept for r in rows if r.quality == 0)
 
 
 # ---- 3: Jaccard join

@@ -211,7 +211,7 @@ def test_sql_twins(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf, odd_docs):
